@@ -9,8 +9,8 @@ weight; a text's score is the logistic of the bias and the weights of its matche
 Words alone have no weight.
 
 Insults and threats are stems: a small list, and those learned from labelled texts. A stem is a beginning of words that
-at least `support` toxic texts have and in which at least `precise` of the texts are toxic, counted over all labelled
-documents. The patterns' weights are fitted on the driver on at most `sample` labelled documents, those of the smallest
+so many toxic texts have that it can't be by chance, and that few other texts have, counted over all labelled documents;
+of toxic near copies, those with the same least line hash, one counts. The patterns' weights are fitted on the driver on at most `sample` labelled documents, those of the smallest
 hashes.
 
 Defined cases: null, empty and word-free texts match no clause and get the bias alone; without labels of both kinds the
@@ -201,24 +201,31 @@ def beginnings(rows: DataFrame, only: frozenset[str] | None = None) -> DataFrame
     return rows.select("text").mapInArrow(run, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
 
 
-def learn_stems(rows: DataFrame, support: int = 3, share: float = 0.004, precise: float = 0.9, most: int = STEMS) -> list[str]:
-    """Stems of toxic texts: at least `support` of these and a `share` of all toxic texts have them, few other texts do.
+def learn_stems(rows: DataFrame, support: int = 5, share: float = 0.004, precise: float = 0.9, most: int = STEMS) -> list[str]:
+    """Stems of toxic texts of rows(text, toxic), those of most texts first.
 
-    Candidates are at most as many as 1 / share times the stems of a toxic text.
+    n toxic texts and no other have one by chance with probability p ** n, p being the share of toxic texts; n must be so
+    large that less than a thousandth of a stem is expected so. They are also at least `support` and a `share` of the
+    toxic texts, which bounds the candidates by 1 / share times the stems of a text.
     """
-    toxic, clean = rows.where("toxic = 1"), rows.where("toxic = 0")
-    seen = beginnings(toxic)
-    least = max(support, int(share * toxic.count()))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.char_length(x) >= 40)
+    sketch = F.coalesce(F.array_min(F.transform(lines, lambda x: F.xxhash64(x))), F.xxhash64("text"))
+    toxic = stash(rows.where("toxic = 1").select("text", sketch.alias("g")).dropDuplicates(["g"]), "toxic")
+    n, every = toxic.count(), rows.count()
+    if not 0 < n < every:
+        return []
+    seen = stash(beginnings(toxic), "stems")
+    chance = np.log(1000 * max(1, seen.count())) / -np.log(n / every)
+    least = max(support, int(share * n), int(np.ceil(chance)))
     got = {r.stem: r.n for r in seen.where(F.col("n") >= least).orderBy(F.desc("n"), "stem").limit(100_000).collect()}
     if not got:
         return []
-    only = frozenset(got)
-    other = {r.stem: r.n for r in beginnings(clean, only).collect()}
+    other = {r.stem: r.n for r in beginnings(rows.where("toxic = 0"), frozenset(got)).collect()}
     good = {s: n for s, n in got.items() if n >= precise * (n + other.get(s, 0))}
     # Of nested stems the longest that nearly as many texts have; then none that begins with another.
     kept: list[str] = []
     for s in sorted(good, key=lambda s: (len(s), s)):
-        if any(s.startswith(k) for k in kept):
+        if any(s.startswith(k) or k.startswith(s) for k in kept):
             continue
         while longer := [x for x in good if len(x) == len(s) + 1 and x.startswith(s) and good[x] >= 0.9 * good[s]]:
             s = longer[0]
