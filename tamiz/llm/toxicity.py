@@ -10,7 +10,7 @@ Words alone have no weight.
 
 Insults and threats are stems: a small list, and those learned from labelled texts. A stem is a beginning of words that
 so many toxic texts have that it can't be by chance, and that few other texts have, counted over all labelled documents;
-of toxic near copies, those with the same least line hash, one counts. The patterns' weights are fitted on the driver on at most `sample` labelled documents, those of the smallest
+of toxic near copies, those that share one of eight MinHash values of word triples, the first counts. The patterns' weights are fitted on the driver on at most `sample` labelled documents, those of the smallest
 hashes.
 
 Defined cases: null, empty and word-free texts match no clause and get the bias alone; without labels of both kinds the
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamiz.llm.common import maybe_broadcast, stash
+from tamiz.llm.simhash import shingle_digests
 
 #: Labelled documents that the weights are fitted on, at most; stems that are kept, at most; their lengths.
 SAMPLE = 20_000
@@ -201,6 +202,25 @@ def beginnings(rows: DataFrame, only: frozenset[str] | None = None) -> DataFrame
     return rows.select("text").mapInArrow(run, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
 
 
+def one_of_near_copies(rows: DataFrame, sketches: int = 8) -> DataFrame:
+    """rows(text) without those with which an earlier one, by the hash of the text, shares a MinHash value."""
+    odd = np.arange(1, 2 * sketches, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch.column("text"):
+                h = np.frombuffer(b"".join(shingle_digests(text.as_py(), 3)), dtype=np.uint64)
+                found.append([int((h * k).min()) >> 1 for k in odd] if len(h) else [0] * sketches)
+            yield pa.record_batch([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], names=["id", "g"])
+
+    known = rows.select(F.xxhash64("text").alias("id"), "text")
+    each = known.mapInArrow(run, "id long, g array<long>").distinct().select("id", F.posexplode("g").alias("i", "g"))
+    first = each.groupBy("i", "g").agg(F.min("id").alias("first"))
+    later = each.join(first, ["i", "g"]).where("id > first").select("id").distinct()
+    return known.dropDuplicates(["id"]).join(later, "id", "left_anti").select("text")
+
+
 def learn_stems(rows: DataFrame, support: int = 5, share: float = 0.004, precise: float = 0.9, most: int = STEMS) -> list[str]:
     """Stems of toxic texts of rows(text, toxic), those of most texts first.
 
@@ -208,9 +228,7 @@ def learn_stems(rows: DataFrame, support: int = 5, share: float = 0.004, precise
     large that less than a thousandth of a stem is expected so. They are also at least `support` and a `share` of the
     toxic texts, which bounds the candidates by 1 / share times the stems of a text.
     """
-    lines = F.filter(F.split("text", "\n"), lambda x: F.char_length(x) >= 40)
-    sketch = F.coalesce(F.array_min(F.transform(lines, lambda x: F.xxhash64(x))), F.xxhash64("text"))
-    toxic = stash(rows.where("toxic = 1").select("text", sketch.alias("g")).dropDuplicates(["g"]), "toxic")
+    toxic = stash(one_of_near_copies(rows.where("toxic = 1").select("text")), "toxic")
     n, every = toxic.count(), rows.count()
     if not 0 < n < every:
         return []
@@ -243,16 +261,16 @@ class Model:
         return float(1 / (1 + np.exp(-max(-30.0, min(30.0, z))))), n
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic weights, pulled to the set ones, that no pattern's may be negative."""
-    prior = np.array([_SET[how] for _, _, how in PATTERNS])
-    w, b = prior.copy(), BIAS
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, pull: float = 0.5) -> tuple[np.ndarray, float]:
+    """Logistic weights by damped Newton steps, pulled to the set ones; no pattern's may be negative."""
+    prior = np.array([_SET[how] for _, _, how in PATTERNS] + [BIAS])
+    w, x = prior.copy(), np.hstack([x, np.ones((len(x), 1))])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        g = p - y
-        w = np.maximum(0, w - 0.5 * (x.T @ g / len(y) + 0.002 * (w - prior)))
-        b -= 0.5 * (g.mean() + 0.002 * (b - BIAS))
-    return w, float(b)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + pull * np.eye(len(w))
+        w = w - 0.7 * np.linalg.solve(hessian, x.T @ (p - y) + pull * (w - prior))
+        w[:-1] = np.maximum(0, w[:-1])
+    return w[:-1], float(w[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
