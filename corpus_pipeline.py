@@ -7,10 +7,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamiz.llm import decontam, simhash
+from tamiz.llm import decontam, langid, linededup, mixing, simhash
 from tamiz.llm.common import shared_dir, table
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no language can be told go."""
+    return langid.accepted(docs)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines within two edits of an earlier line go, and documents of which nothing is left."""
+    return linededup.dedup_lines(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays."""
     return simhash.dedup(docs)
@@ -21,9 +31,17 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    return mixing.query(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("simhash near-dedup", near_dedup),
+    ("language ID", identify_language),
+    ("line dedup", dedup_lines),
+    ("SimHash near-dedup", near_dedup),
     ("benchmark decontamination", decontaminate),
+    ("mixing sources", mix_sources),
 ]
 
 #: Hashes and trained models have no SQL form; the stages are tested against brute force.
