@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tamiz.llm.common import drop_rows, fresh, stash, text_key
 
 #: Offsets that the masks select, of ten positions.
-MASKS = ((0, 1, 3, 6, 9), (0, 2, 5, 6, 7, 9))
+MASKS = ((0, 2, 3, 7), (0, 1, 5, 9))
 SPAN = 10
 #: Benchmark seeds up to which they are broadcast, 24 bytes and the item's tokens each; beyond, both sides shuffle.
 SEED_ROWS = 300_000
