@@ -60,14 +60,31 @@ def signatures(line: Column, size: Column, tau: int) -> tuple[list[Column], list
     return index, probes
 
 
-def distance(a: Column, b: Column, tau: int) -> Column:
-    """Edit distance of two strings of at least tau characters, if it is at most tau; else something larger.
+def with_distance(pairs: DataFrame, a: str, b: str, tau: int) -> DataFrame:
+    """pairs with `edits`: the edit distance of the strings a and b, if it is at most tau; else something larger.
+
+    What both begin and end with is cut off first. Each array is a column of its own, so that it is made once for a row.
+    """
+    chars = lambda c: F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
+    same = lambda x, y: F.array_position(F.zip_with(x, y, lambda p, q: F.coalesce(p != q, F.lit(True))), F.lit(True)) - 1
+    x, y = F.col("__x"), F.col("__y")
+    rows = pairs.withColumn("__x", chars(F.col(a))).withColumn("__y", chars(F.col(b)))
+    for _ in range(2):  # from the front, then turned round
+        rows = rows.withColumn("__n", F.when(x == y, F.size(x)).otherwise(same(x, y)).cast("int"))
+        rows = rows.withColumns({k: F.reverse(F.slice(c, F.col("__n") + 1, F.size(c))) for k, c in (("__x", x), ("__y", y))})
+    # The band needs tau characters at least: equal ones in front change nothing.
+    front = F.array_repeat(F.lit(""), tau)
+    rows = rows.withColumns({"__x": F.concat(front, x), "__y": F.concat(front, y)})
+    return rows.withColumn("edits", distance(x, y, tau)).drop("__x", "__y", "__n")
+
+
+def distance(x: Column, y: Column, tau: int) -> Column:
+    """Edit distance of two arrays of at least tau characters, both columns, if it is at most tau; else something larger.
 
     A column of the band holds rows j - tau to j + tau of column j, the least bit at the top: vp and vn have the rows that
-    are one above or below the row over them. The distance is carried down the lowest diagonal to the last row of a,
+    are one above or below the row over them. The distance is carried down the lowest diagonal to the last row of x,
     then along this row.
     """
-    x, y = F.regexp_extract_all(a, F.lit("(?s)."), F.lit(0)), F.regexp_extract_all(b, F.lit("(?s)."), F.lit(0))
     m, n, w = F.size(x), F.size(y), 2 * tau + 1
     full = F.lit((1 << w) - 1)
     start = F.struct(F.lit(((1 << w) - 1) & ~((1 << tau) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(tau).alias("d"))
@@ -128,7 +145,7 @@ def line_classes(docs: DataFrame, tau: int = 2, min_chars: int = 20, broadcast_r
     texts = again.join(maybe_broadcast(ends, ends.count(), broadcast_rows), (F.col("h1") == F.col("e1")) & (F.col("at") == F.col("e_at")))
     texts = stash(texts.select("h1", "line").distinct(), "texts")
     both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("h1").alias("b"), F.col("line").alias("lb")), "b")
-    edits = both.select("a", "b", distance(F.col("la"), F.col("lb"), tau).alias("edits"))
+    edits = with_distance(both, "la", "lb", tau).select("a", "b", "edits")
     links = stash(edits.where(F.col("edits") <= tau).distinct(), "links")
     places = found.select("doc_id", "th", "line_no", *keys)
     return classes.select("h1", "h2", "n", "at"), links, places

@@ -91,9 +91,10 @@ def draw(sources: DataFrame, block: int, shard: int, seed: int) -> DataFrame:
     first = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)  # a row for each source
     s = sources.where("slots > 0").withColumn("first", F.coalesce(F.sum("slots").over(first), F.lit(0)))
     s = s.withColumn("every", F.sum("slots").over(Window.partitionBy()))
-    # Slots are listed in runs of 4096, so that no source's list is in one row.
+    # Slots are listed in runs of 4096, so that no source's list is in one row, and the runs are dealt to many tasks.
     runs = s.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / 4096))))
-    runs = runs.repartition("k", "run")
+    every = sources.agg(F.sum("slots")).first()[0] or 0
+    runs = runs.repartition(max(sources.sparkSession.sparkContext.defaultParallelism, every // 1_000_000), "k", "run")
     j = runs.withColumn("j", F.explode(F.sequence(F.col("run") * 4096, F.least(F.col("run") * 4096 + 4095, F.col("slots") - 1))))
     at = permuted(F.col("first") + F.col("j"), F.col("every"), F.lit(-1), seed)
     full, inner = F.floor(F.col("source_size") / block), F.pmod("j", "blocks")
@@ -113,7 +114,7 @@ def pieces(rows: DataFrame, slots: DataFrame, block: int) -> DataFrame:
     last = F.floor((F.col("start") + F.col("size") - 1) / block)
     cut = rows.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), last)))
     cut = cut.select("k", "block", "doc_id", "th", "start", "size", F.greatest(F.lit(0), F.col("block") * block - F.col("start")).alias("word"))
-    both = cut.join(slots, ["k", "block"])
+    both = cut.join(slots.hint("merge"), ["k", "block"])  # slots grow with the input, which the planner doesn't see
     head = F.col("start") + F.col("word") - F.col("block") * block  # of the piece in the block
     words = F.least(F.col("size") - F.col("word"), F.col("words") - head)
     return both.select("shard", "slot", "k", "doc_id", "th", "start", "word", words.alias("words")).where("words > 0")
@@ -121,7 +122,7 @@ def pieces(rows: DataFrame, slots: DataFrame, block: int) -> DataFrame:
 
 def mixed_texts(docs: DataFrame, block: int = 64, shard: int = 4096, seed: int = 11) -> DataFrame:
     """(shard, slot, part, doc_id, words): the mix itself, the words of each slot's pieces joined by spaces."""
-    rows, sources = packed(docs, block, 20_000, seed)
+    rows, sources = packed(docs, block, 2000, seed)
     cut = pieces(rows, draw(sources, block, shard, seed), block)
     words = docs.select(F.col("doc_id").cast("long").alias("d"), text_key().alias("t"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("all")).dropDuplicates(["d", "t"])
     out = cut.join(words, cut["doc_id"].eqNullSafe(words["d"]) & (cut["th"] == words["t"]))
@@ -130,12 +131,12 @@ def mixed_texts(docs: DataFrame, block: int = 64, shard: int = 4096, seed: int =
 
 def mix(docs: DataFrame, block: int = 64, shard: int = 4096, seed: int = 11) -> DataFrame:
     """(doc_id, source, th, size, source_size, target, taken) of every row: the words that the mix takes of it."""
-    rows, sources = packed(docs, block, 20_000, seed)
+    rows, sources = packed(docs, block, 2000, seed)
     uses = draw(sources, block, shard, seed).groupBy("k", "block", "words").agg(F.count("*").alias("n"))
     last = F.floor((F.col("start") + F.col("size") - 1) / block)
     cut = rows.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), last)))
     cut = cut.select("k", "block", "start", "size")
-    both = cut.join(uses, ["k", "block"])
+    both = cut.join(uses.hint("merge"), ["k", "block"])  # uses grow with the input, which the planner doesn't see
     low = F.greatest("start", F.col("block") * block)
     high = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("words"))
     taken = both.groupBy("k", "start").agg(F.sum(F.greatest(high - low, F.lit(0)) * F.col("n")).alias("got"))
