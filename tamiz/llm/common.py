@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once for a row: used within a lambda, a plain column's definition may be put
+    in its place by the optimizer and computed for every element."""
+    return F.transform(F.array(value), then)[0]
+
+
 def maybe_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """df, which has so many rows, marked for broadcast if they are few enough."""
     return F.broadcast(df) if rows <= most else df

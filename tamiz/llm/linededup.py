@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.llm.common import fresh, maybe_broadcast, stash, text_key
+from tamiz.llm.common import fresh, let, maybe_broadcast, stash, text_key
 
 _LAST = 2**63 - 1
 
@@ -87,8 +87,6 @@ def distance(x: Column, y: Column, tau: int) -> Column:
     """
     m, n, w = F.size(x), F.size(y), 2 * tau + 1
     full = F.lit((1 << w) - 1)
-    start = F.struct(F.lit(((1 << w) - 1) & ~((1 << tau) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(tau).alias("d"))
-
     def step(s: Column, j: Column) -> Column:  # j from 1
         c = F.get(y, j - 1)
         row = lambda t: j + (t - tau - 1)
@@ -119,8 +117,10 @@ def distance(x: Column, y: Column, tau: int) -> Column:
         once = F.array(held)
         for f in (zero, across, down):  # each names its values once
             once = F.transform(once, f)
-        return once[0]
+        # Down the diagonal the distance never falls, and along the row by 2 tau at most: from 3 tau on nothing is left to find.
+        return F.when(s["d"] > 3 * tau, s).otherwise(once[0])
 
+    start = F.struct(F.lit(((1 << w) - 1) & ~((1 << tau) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(tau).alias("d"))
     return F.when(F.abs(m - n) > tau, F.lit(tau + 1)).otherwise(F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["d"]))
 
 
@@ -145,8 +145,11 @@ def line_classes(docs: DataFrame, tau: int = 2, min_chars: int = 20, broadcast_r
     texts = again.join(maybe_broadcast(ends, ends.count(), broadcast_rows), (F.col("h1") == F.col("e1")) & (F.col("at") == F.col("e_at")))
     texts = stash(texts.select("h1", "line").distinct(), "texts")
     both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("h1").alias("b"), F.col("line").alias("lb")), "b")
-    edits = with_distance(both, "la", "lb", tau).select("a", "b", "edits")
-    links = stash(edits.where(F.col("edits") <= tau).distinct(), "links")
+    # Few bytes, but each pair is work: dealt to as many tasks as there are thousands of pairs, or cores.
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, pairs.count() // 5000)
+    # Written before the filter: the optimizer would put the distance's definition into it, array by array.
+    edits = stash(with_distance(both.repartition(parts, "a", "b"), "la", "lb", tau).select("a", "b", "edits"), "edits")
+    links = edits.where(F.col("edits") <= tau).distinct()
     places = found.select("doc_id", "th", "line_no", *keys)
     return classes.select("h1", "h2", "n", "at"), links, places
 
@@ -182,9 +185,12 @@ def dedup_lines(docs: DataFrame, tau: int = 2, min_chars: int = 20) -> DataFrame
     lost = stash(lost.groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("lines")), "lost")
     keys = lost.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("lines").alias("__lines"))
     rows = docs.join(maybe_broadcast(keys, lost.count(), 200_000), docs["doc_id"].eqNullSafe(keys["__id"]) & (text_key(docs["text"]) == keys["__th"]), "left")
-    parts = F.split(docs["text"], "\n")
-    numbers = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__lines"))
-    left = F.array_join(F.transform(numbers, lambda i: F.get(parts, i)), "\n")
+
+    def rest(parts: Column) -> Column:
+        numbers = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__lines"))
+        return F.array_join(F.transform(numbers, lambda i: F.get(parts, i)), "\n")
+
+    left = let(F.split(docs["text"], "\n"), rest)
     text = F.when(F.col("__lines").isNull(), docs["text"]).otherwise(left)
     new = fresh(docs, "text_now")
     rows = rows.withColumn(new, text).where(F.col("__lines").isNull() | F.col(new).rlike(r"\S"))
