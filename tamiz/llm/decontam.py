@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.llm.common import drop_rows, fresh, stash, text_key
+from tamiz.llm.common import drop_rows, let, stash, text_key
 
 #: Offsets that the masks select, of ten positions.
 MASKS = ((0, 2, 3, 7), (0, 1, 5, 9))
@@ -41,14 +41,20 @@ def seeds(h: Column, offsets: tuple[int, ...], span: int, mask: int) -> Column:
     return F.when(F.size(h) >= span, F.transform(F.sequence(F.lit(0), F.size(h) - span), at)).otherwise(F.array().cast("array<bigint>"))
 
 
-def agreement(item: Column, doc: Column, window: int, agree: float) -> Column:
+def agreement(item: Column, doc: Column, window: int) -> Column:
     """Struct (best, width, at): the most agreeing places of any `width` consecutive item tokens, and the first such
     window; doc holds the tokens that lie along the item, null where the document doesn't reach."""
-    same = F.zip_with(item, doc, lambda x, y: F.coalesce((x == y).cast("int"), F.lit(0)))
     width = F.least(F.size(item), F.lit(window))
-    sums = F.transform(F.sequence(F.lit(0), F.size(item) - width), lambda i: F.aggregate(F.slice(same, i + 1, width), F.lit(0), lambda a, x: a + x))
-    best = F.array_max(sums)
-    return F.struct(best.alias("best"), width.alias("width"), (F.array_position(sums, best).cast("int") - 1).alias("at"))
+
+    def best(sums: Column) -> Column:
+        top = F.array_max(sums)
+        return F.struct(top.alias("best"), width.alias("width"), (F.array_position(sums, top).cast("int") - 1).alias("at"))
+
+    def totals(same: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), F.size(item) - width), lambda i: F.aggregate(F.slice(same, i + 1, width), F.lit(0), lambda a, x: a + x))
+        return let(sums, best)
+
+    return let(F.zip_with(item, doc, lambda x, y: F.coalesce((x == y).cast("int"), F.lit(0))), totals)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 16, agree: float = 0.8, seed_rows: int = SEED_ROWS) -> DataFrame:
@@ -96,8 +102,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 16, agree: floa
         F.when(start < 0, F.array_repeat(F.lit(None).cast("long"), -start)).otherwise(F.array().cast("array<bigint>")),
         F.slice(F.col("h"), F.greatest(start, F.lit(0)) + 1, F.size("item") + F.least(start, F.lit(0))),
     )
-    found = hits.select("doc_id", "th", "item_id", start.alias("diag"), agreement(F.col("item"), along, window, agree).alias("m"))
-    found = found.where(F.col("m.best") >= F.ceil(F.col("m.width") * agree))
+    # Each diagonal once; what is verified is written before the filter, into which the optimizer would put it again.
+    found = hits.select("doc_id", "th", "item_id", start.alias("diag"), "item", along.alias("along")).distinct()
+    found = found.select("doc_id", "th", "item_id", "diag", agreement(F.col("item"), F.col("along"), window).alias("m"))
+    found = stash(found, "verified").where(F.col("m.best") >= F.ceil(F.col("m.width") * agree))
     best = F.max(F.struct(F.col("m.best").alias("matched"), (-(F.col("diag") + F.col("m.at"))).alias("neg"), F.col("m.width").alias("width"), F.col("m.at").alias("item_start")))
     best = found.groupBy("doc_id", "th", "item_id").agg(best.alias("b"))
     return best.select("doc_id", "th", "item_id", "b.matched", "b.width", (-F.col("b.neg")).alias("start"), "b.item_start")
