@@ -71,9 +71,10 @@ def farthest(points: np.ndarray, k: int) -> list[int]:
     return chosen
 
 
-def build(ids: np.ndarray, v: np.ndarray, points: np.ndarray, center: np.ndarray, leaf: int = 128, fanout: int = 16) -> list[dict[str, Any]]:
+def build(ids: np.ndarray, v: np.ndarray, points: np.ndarray, center: np.ndarray, leaf: int = 256, fanout: int = 16) -> list[dict[str, Any]]:
     """Pages of a tree; the first is the root, whose routing vector is `center`."""
     pages: list[dict[str, Any]] = []
+    rng = np.random.default_rng(len(ids))
 
     def grow(rows: np.ndarray, own: np.ndarray) -> int:
         at = len(pages)
@@ -82,8 +83,10 @@ def build(ids: np.ndarray, v: np.ndarray, points: np.ndarray, center: np.ndarray
         if len(rows) <= leaf:
             pages[at] = {"children": [], "ids": ids[rows].tolist(), "vectors": v[rows].ravel().tolist(), "near": near.tolist(), "radii": []}
             return at
-        some = rows[:: max(1, len(rows) // 512)]
-        heads = some[farthest(points[some], fanout)]
+        # As many routing vectors as fill pages, drawn at random: the parts are then about even.
+        wanted = min(fanout, -(-len(rows) // leaf) + 1)
+        heads = rng.choice(rows, wanted, replace=False)
+        heads = heads[np.unique(points[heads], axis=0, return_index=True)[1]]
         if len(heads) == 1:  # copies of one vector, or nearly: parts of equal size
             parts = [(int(p[0]), p) for p in np.array_split(rows, min(fanout, -(-len(rows) // leaf)))]
         else:
@@ -162,7 +165,8 @@ def choose_pivots(rows: DataFrame, most: float, count: int, sample: int, each: i
     got = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(sample).select("v", "n2", "dim").collect()
     pivots = {}
     for dim in sorted({r.dim for r in got}):
-        v = np.array([r.v for r in got if r.dim == dim], dtype=np.float64).reshape(-1, dim)
+        v = np.array([r.v for r in got if r.dim == dim], dtype=np.float64)
+        v = v.reshape(len(v), dim)
         n2 = np.array([r.n2 for r in got if r.dim == dim])
         points = lifted(v, n2, most)
         pivots[dim] = points[farthest(points, max(1, min(limit, -(-count // each))))]
@@ -183,7 +187,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, tree_rows: int = 4096
             df = batch.to_pandas()
             pivot, far = np.zeros(len(df), dtype=np.int32), np.zeros(len(df))
             for dim, part in df.groupby("dim"):
-                points = lifted(np.array(part["v"].tolist(), dtype=np.float64).reshape(-1, dim), part["n2"].to_numpy(), most)
+                points = lifted(np.array(part["v"].tolist(), dtype=np.float64).reshape(len(part), dim), part["n2"].to_numpy(), most)
                 d = np.stack([distances(points, c) for c in held.value.get(dim, np.zeros((1, dim + 1)))])
                 pivot[part.index], far[part.index] = d.argmin(0), d.min(0)
             yield pa.record_batch([*(batch.column(c) for c in ("vec_id", "v", "n2", "dim")), pa.array(pivot), pa.array(far)], names=["vec_id", "v", "n2", "dim", "pivot", "far"])
