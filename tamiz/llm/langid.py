@@ -150,7 +150,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.record_batch([batch.column("lang"), pa.array([None if v is None else v.astype(np.float16).tobytes() for v in x], pa.binary())], names=["lang", "x"])
 
     got = chosen.mapInArrow(run, "lang string, x binary").where("x is not null").collect()  # `sample` rows of 8 KB at most
-    x = np.array([np.frombuffer(r.x, dtype=np.float16) for r in got], dtype=np.float32).reshape(len(got), -1)
+    x = np.array([np.frombuffer(r.x, dtype=np.float16) for r in got], dtype=np.float32).reshape(len(got), WIDTH)
     return Model(x, [r.lang for r in got])
 
 

@@ -4,7 +4,7 @@ Lines of `min_chars` or more characters are compared over all documents; two dif
 most `tau` insertions, deletions and substitutions apart. A line of length l is cut into tau + 1 segments: within tau
 edits one of them is left whole, and stands in the other line at one of a few places, which depend on the difference of
 the lengths. The segments are index keys (length, segment, content), the substrings at these places are probes, and
-equal keys make the candidates, whose distance a band of 2 tau + 1 diagonals held in the bits of one word decides.
+equal keys make the candidates (those of keys that many lines share, by further segments), whose distance a band of 2 tau + 1 diagonals held in the bits of one word decides.
 
 Copies are put together first: a class is all places of one line text, and only its key is compared. Its first place, by
 doc_id and line number, stands for it. A line is kept if it is the first place of its class and no linked class begins
@@ -36,8 +36,13 @@ def place(doc_id: Column, line_no: Column) -> Column:
     return (F.coalesce(doc_id, F.lit(_LAST)).cast("decimal(19,0)") * F.lit(2**32).cast("decimal(10,0)") + line_no).cast("decimal(38,0)")
 
 
-def signatures(line: Column, size: Column, tau: int) -> tuple[list[Column], list[Column]]:
-    """Hashes of the index keys and of the further probes of a line: all have the indexed length, the segment and its content."""
+def signatures(line: Column, tau: int, depth: int = 1) -> list[tuple[bool, list[Column]]]:
+    """Keys of a line: whether it is an index key, and the hashes of its levels, each of which takes in the one before.
+
+    A key of level 1 has the indexed line's length, a segment's number and its content. Level d is the same again for what
+    is left of the line without the segments of the levels before: if these stand in both lines, the rest is still within
+    tau edits. A key that doesn't fit into the line is null.
+    """
     parts = tau + 1
 
     def cut(length: Column, i: int) -> tuple[Column, Column]:
@@ -46,18 +51,23 @@ def signatures(line: Column, size: Column, tau: int) -> tuple[list[Column], list
         short = F.lit(parts) - longer
         return i * base + F.greatest(F.lit(0), F.lit(i) - short) + 1, base + F.when(F.lit(i) >= short, 1).otherwise(0)
 
-    def key(length: Column, i: int, start: Column, width: Column) -> Column:
-        there = F.substring(line, start.cast("int"), width.cast("int"))
-        return F.when((start >= 1) & (start + width - 1 <= size), F.xxhash64(length, F.lit(i), there))
-
-    index, probes = [], []
-    for delta in range(tau + 1):  # of this line's length over the indexed one's
-        length = size - delta
+    def below(text: Column, size: Column, delta: int, level: int, before: list[Column]) -> list[tuple[bool, list[Column]]]:
+        out = []
+        length = size - delta  # of the indexed line
         for i in range(parts):
             start, width = cut(length, i)
             for shift in range(max(-i, delta - (tau - i)), min(i, delta + (tau - i)) + 1):
-                (index if delta == shift == 0 else probes).append(key(length, i, start + shift, width))
-    return index, probes
+                at, n = (start + shift).cast("int"), width.cast("int")
+                own = F.when((at >= 1) & (at + n - 1 <= size), F.xxhash64(length, F.lit(i), F.substring(text, at, n)))
+                keys = [*before, F.when(before[-1].isNotNull() & own.isNotNull(), F.xxhash64(before[-1], own)) if before else own]
+                if level == depth:
+                    out.append((delta == shift == 0, keys))
+                else:
+                    rest = F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + n, size))
+                    out += [(index and delta == shift == 0, k) for index, k in below(rest, size - n, delta, level + 1, keys)]
+        return out
+
+    return [x for delta in range(tau + 1) for x in below(line, F.char_length(line), delta, 1, [])]
 
 
 def with_distance(pairs: DataFrame, a: str, b: str, tau: int) -> DataFrame:
@@ -124,29 +134,56 @@ def distance(x: Column, y: Column, tau: int) -> Column:
     return F.when(F.abs(m - n) > tau, F.lit(tau + 1)).otherwise(F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["d"]))
 
 
-def line_classes(docs: DataFrame, tau: int = 2, min_chars: int = 20, broadcast_rows: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Classes (h1, h2, n, at), links (a, b, edits) between the classes' h1, and places (doc_id, th, line_no, h1, h2, at)."""
-    size = F.char_length("line")
-    found = lines(docs).where(size >= max(min_chars, tau + 1))
+def candidates(index: DataFrame, probes: DataFrame, hot: DataFrame, rows: int) -> DataFrame:
+    """(a, b) of index(k, a) and probes(k, b) with the same key, other than the hot ones, a < b."""
+    cold = index.join(maybe_broadcast(hot, rows), "k", "left_anti")
+    pairs = cold.join(probes, "k").where("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def line_classes(docs: DataFrame, tau: int = 2, min_chars: int = 20, bucket: int = 16, broadcast_rows: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes (h1, h2, n, at), links (a, b, edits) between the classes' h1, and places (doc_id, th, line_no, h1, h2).
+
+    A key that more than `bucket` classes are indexed under makes no pairs: the lines that have it get the keys of the
+    next level that extend it, down to level 3.
+    """
+    spark = docs.sparkSession
+    found = lines(docs).where(F.char_length("line") >= max(min_chars, tau + 1))
     keys = [F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2")]
-    index, probes = signatures(F.col("line"), size, tau)
-    sig = [f"k{i}" for i in range(len(index) + len(probes))]
-    flat = found.select(*keys, place(F.col("doc_id"), F.col("line_no")).alias("at"), *[k.alias(s) for s, k in zip(sig, index + probes, strict=True)])
+    own = signatures(F.col("line"), tau)
+    sig, index = [f"k{i}" for i in range(len(own))], [f"k{i}" for i, (indexed, _) in enumerate(own) if indexed]
+    flat = found.select(*keys, place(F.col("doc_id"), F.col("line_no")).alias("at"), *[k[0].alias(s) for s, (_, k) in zip(sig, own, strict=True)])
     classes = stash(flat.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("at").alias("at"), *[F.min(s).alias(s) for s in sig]), "classes")
 
-    inner = [s for s in sig[: len(index)]]
-    left = classes.select(F.explode(F.array(*inner)).alias("k"), F.col("h1").alias("a"))
+    def texts(heads: DataFrame) -> DataFrame:
+        """(h1, line) of the classes in heads(h1): the lines at their first places."""
+        heads = stash(heads.join(classes.select("h1", "at"), "h1").select(F.col("h1").alias("e1"), F.col("at").alias("e_at")), "heads")
+        again = found.select(F.xxhash64("line").alias("h1"), place(F.col("doc_id"), F.col("line_no")).alias("at"), "line")
+        got = again.join(maybe_broadcast(heads, heads.count(), broadcast_rows), (F.col("h1") == F.col("e1")) & (F.col("at") == F.col("e_at")))
+        return stash(got.select("h1", "line").distinct(), "texts")
+
+    left = classes.select(F.explode(F.array(*index)).alias("k"), F.col("h1").alias("a"))
     right = classes.select(F.explode(F.array(*sig)).alias("k"), F.col("h1").alias("b")).where("k is not null")
-    pairs = left.join(right, "k").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = stash(pairs, "pairs")
-    ends = pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct()
-    ends = stash(ends.join(classes.select("h1", "at"), "h1").select(F.col("h1").alias("e1"), F.col("at").alias("e_at")), "ends")
-    again = found.select(F.xxhash64("line").alias("h1"), place(F.col("doc_id"), F.col("line_no")).alias("at"), "line")
-    texts = again.join(maybe_broadcast(ends, ends.count(), broadcast_rows), (F.col("h1") == F.col("e1")) & (F.col("at") == F.col("e_at")))
-    texts = stash(texts.select("h1", "line").distinct(), "texts")
-    both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("h1").alias("b"), F.col("line").alias("lb")), "b")
+    pairs = None
+    for depth in (2, 3, None):
+        hot = left.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > (bucket if depth else 2**62)).select("k")
+        hot = stash(hot, "hot")
+        many = hot.count()
+        more = stash(candidates(left, right, hot, many), "pairs")
+        pairs = more if pairs is None else pairs.unionByName(more)
+        if not many:
+            break
+        lined = texts(right.join(maybe_broadcast(hot, many), "k", "left_semi").select(F.col("b").alias("h1")).distinct())
+        each = F.explode(F.array(*[F.struct(k[-2].alias("up"), k[-1].alias("k"), F.lit(indexed).alias("indexed")) for indexed, k in signatures(F.col("line"), tau, depth)])).alias("x")
+        spread = lined.repartition(max(spark.sparkContext.defaultParallelism, many // 1000), "h1").select("h1", each).select("h1", "x.*")
+        spread = stash(spread.where("k is not null").join(maybe_broadcast(hot.withColumnRenamed("k", "up"), many), "up", "left_semi").drop("up").distinct(), "deeper")
+        left = spread.where("indexed").select("k", F.col("h1").alias("a"))
+        right = spread.select("k", F.col("h1").alias("b")).distinct()
+    pairs = stash(pairs.distinct(), "pairs")
+    lined = texts(pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct())
+    both = pairs.join(lined.select(F.col("h1").alias("a"), F.col("line").alias("la")), "a").join(lined.select(F.col("h1").alias("b"), F.col("line").alias("lb")), "b")
     # Few bytes, but each pair is work: dealt to as many tasks as there are thousands of pairs, or cores.
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, pairs.count() // 5000)
+    parts = max(spark.sparkContext.defaultParallelism, pairs.count() // 5000)
     # Written before the filter: the optimizer would put the distance's definition into it, array by array.
     edits = stash(with_distance(both.repartition(parts, "a", "b"), "la", "lb", tau).select("a", "b", "edits"), "edits")
     links = edits.where(F.col("edits") <= tau).distinct()
