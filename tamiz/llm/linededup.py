@@ -36,38 +36,34 @@ def place(doc_id: Column, line_no: Column) -> Column:
     return (F.coalesce(doc_id, F.lit(_LAST)).cast("decimal(19,0)") * F.lit(2**32).cast("decimal(10,0)") + line_no).cast("decimal(38,0)")
 
 
-def signatures(line: Column, tau: int, depth: int = 1) -> list[tuple[bool, list[Column]]]:
-    """Keys of a line: whether it is an index key, and the hashes of its levels, each of which takes in the one before.
-
-    A key of level 1 has the indexed line's length, a segment's number and its content. Level d is the same again for what
-    is left of the line without the segments of the levels before: if these stand in both lines, the rest is still within
-    tau edits. A key that doesn't fit into the line is null.
+def pieces(text: Column, delta: int, tau: int) -> list[tuple[Column, Column, bool]]:
+    """Keys of a string that may be `delta` longer than the one that is indexed, what is left of it without the key's
+    piece, and whether the key is the one under which the string itself is indexed. A piece that doesn't fit has no key."""
+    parts, size = tau + 1, F.char_length(text)
+    length = size - delta  # of the indexed string
+    base, short = F.floor(length / parts), F.lit(parts) - length % parts  # the longer segments come last
+    out = []
+    for i in range(parts):
+        start, width = i * base + F.greatest(F.lit(0), F.lit(i) - short) + 1, (base + F.when(F.lit(i) >= short, 1).otherwise(0)).cast("int")
+        for shift in range(max(-i, delta - (tau - i)), min(i, delta + (tau - i)) + 1):
+            at = (start + shift).cast("int")
+            fits = (length > 0) & (at >= 1) & (at + width - 1 <= size)
+            rest = F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + width, size))
+            out.append((F.when(fits, F.xxhash64(length, F.lit(i), F.substring(text, at, width))), rest, delta == shift == 0))
+    return out
+
+
+def deeper(rows: DataFrame, tau: int, first: bool) -> DataFrame:
+    """(h1, k, rest, delta, indexed): the keys of the next level of rows(h1, k, rest, delta, indexed).
+
+    If a piece stands in both lines, what is left of them is within tau edits, too: its pieces extend the key.
     """
-    parts = tau + 1
-
-    def cut(length: Column, i: int) -> tuple[Column, Column]:
-        """Start, from 1, and length of segment i of a line of this length: the longer ones come last."""
-        base, longer = F.floor(length / parts), length % parts
-        short = F.lit(parts) - longer
-        return i * base + F.greatest(F.lit(0), F.lit(i) - short) + 1, base + F.when(F.lit(i) >= short, 1).otherwise(0)
-
-    def below(text: Column, size: Column, delta: int, level: int, before: list[Column]) -> list[tuple[bool, list[Column]]]:
-        out = []
-        length = size - delta  # of the indexed line
-        for i in range(parts):
-            start, width = cut(length, i)
-            for shift in range(max(-i, delta - (tau - i)), min(i, delta + (tau - i)) + 1):
-                at, n = (start + shift).cast("int"), width.cast("int")
-                own = F.when((at >= 1) & (at + n - 1 <= size), F.xxhash64(length, F.lit(i), F.substring(text, at, n)))
-                keys = [*before, F.when(before[-1].isNotNull() & own.isNotNull(), F.xxhash64(before[-1], own)) if before else own]
-                if level == depth:
-                    out.append((delta == shift == 0, keys))
-                else:
-                    rest = F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + n, size))
-                    out += [(index and delta == shift == 0, k) for index, k in below(rest, size - n, delta, level + 1, keys)]
-        return out
-
-    return [x for delta in range(tau + 1) for x in below(line, F.char_length(line), delta, 1, [])]
+    out = None
+    for d in range(tau + 1):
+        each = [F.struct((k if first else F.when(k.isNotNull(), F.xxhash64("k", k))).alias("k"), rest.alias("rest"), (F.col("indexed") & F.lit(ix)).alias("indexed")) for k, rest, ix in pieces(F.col("rest"), d, tau)]
+        part = rows.where(F.col("delta") == d).select("h1", F.lit(d).alias("delta"), F.explode(F.array(*each)).alias("x")).select("h1", "x.k", "x.rest", "delta", "x.indexed")
+        out = part if out is None else out.unionByName(part)
+    return out.where("k is not null")
 
 
 def with_distance(pairs: DataFrame, a: str, b: str, tau: int) -> DataFrame:
@@ -141,18 +137,18 @@ def candidates(index: DataFrame, probes: DataFrame, hot: DataFrame, rows: int) -
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def line_classes(docs: DataFrame, tau: int = 2, min_chars: int = 20, bucket: int = 16, broadcast_rows: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def line_classes(docs: DataFrame, tau: int = 2, min_chars: int = 20, bucket: int = 8, levels: int = 5, broadcast_rows: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Classes (h1, h2, n, at), links (a, b, edits) between the classes' h1, and places (doc_id, th, line_no, h1, h2).
 
     A key that more than `bucket` classes are indexed under makes no pairs: the lines that have it get the keys of the
-    next level that extend it, down to level 3.
+    next level that extend it, as deep as that makes fewer; the last level makes all its pairs.
     """
     spark = docs.sparkSession
     found = lines(docs).where(F.char_length("line") >= max(min_chars, tau + 1))
     keys = [F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2")]
-    own = signatures(F.col("line"), tau)
-    sig, index = [f"k{i}" for i in range(len(own))], [f"k{i}" for i, (indexed, _) in enumerate(own) if indexed]
-    flat = found.select(*keys, place(F.col("doc_id"), F.col("line_no")).alias("at"), *[k[0].alias(s) for s, (_, k) in zip(sig, own, strict=True)])
+    own = [x for d in range(tau + 1) for x in pieces(F.col("line"), d, tau)]
+    sig, index = [f"k{i}" for i in range(len(own))], [f"k{i}" for i, (_, _, indexed) in enumerate(own) if indexed]
+    flat = found.select(*keys, place(F.col("doc_id"), F.col("line_no")).alias("at"), *[k.alias(s) for s, (k, _, _) in zip(sig, own, strict=True)])
     classes = stash(flat.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("at").alias("at"), *[F.min(s).alias(s) for s in sig]), "classes")
 
     def texts(heads: DataFrame) -> DataFrame:
@@ -164,21 +160,24 @@ def line_classes(docs: DataFrame, tau: int = 2, min_chars: int = 20, bucket: int
 
     left = classes.select(F.explode(F.array(*index)).alias("k"), F.col("h1").alias("a"))
     right = classes.select(F.explode(F.array(*sig)).alias("k"), F.col("h1").alias("b")).where("k is not null")
-    pairs = None
-    for depth in (2, 3, None):
-        hot = left.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > (bucket if depth else 2**62)).select("k")
+    pairs, rows = None, None
+    for level in range(1, levels + 1):
+        hot = left.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > (bucket if level < levels else 2**62)).select("k")
         hot = stash(hot, "hot")
         many = hot.count()
         more = stash(candidates(left, right, hot, many), "pairs")
         pairs = more if pairs is None else pairs.unionByName(more)
         if not many:
             break
-        lined = texts(right.join(maybe_broadcast(hot, many), "k", "left_semi").select(F.col("b").alias("h1")).distinct())
-        each = F.explode(F.array(*[F.struct(k[-2].alias("up"), k[-1].alias("k"), F.lit(indexed).alias("indexed")) for indexed, k in signatures(F.col("line"), tau, depth)])).alias("x")
-        spread = lined.repartition(max(spark.sparkContext.defaultParallelism, many // 1000), "h1").select("h1", each).select("h1", "x.*")
-        spread = stash(spread.where("k is not null").join(maybe_broadcast(hot.withColumnRenamed("k", "up"), many), "up", "left_semi").drop("up").distinct(), "deeper")
-        left = spread.where("indexed").select("k", F.col("h1").alias("a"))
-        right = spread.select("k", F.col("h1").alias("b")).distinct()
+        if rows is None:
+            lined = texts(right.join(maybe_broadcast(hot, many), "k", "left_semi").select(F.col("b").alias("h1")).distinct())
+            lined = lined.repartition(max(spark.sparkContext.defaultParallelism, many // 1000), "h1")
+            deltas = F.explode(F.array(*[F.lit(d) for d in range(tau + 1)])).alias("delta")
+            rows = deeper(lined.select("h1", F.lit(None).cast("long").alias("k"), F.col("line").alias("rest"), deltas, F.lit(True).alias("indexed")), tau, True)
+        rows = stash(rows.join(maybe_broadcast(hot, many), "k", "left_semi"), "extended")
+        rows = stash(deeper(rows, tau, False), "deeper")
+        left = rows.where("indexed").select("k", F.col("h1").alias("a")).distinct()
+        right = rows.select("k", F.col("h1").alias("b")).distinct()
     pairs = stash(pairs.distinct(), "pairs")
     lined = texts(pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct())
     both = pairs.join(lined.select(F.col("h1").alias("a"), F.col("line").alias("la")), "a").join(lined.select(F.col("h1").alias("b"), F.col("line").alias("lb")), "b")
