@@ -40,7 +40,7 @@ _FOLD = str.maketrans({ch: plain for plain, many in PLAIN.items() for ch in many
 
 def normalized(s: str) -> str:
     """The same as functions.text.normalize_phonetic_upper."""
-    s = re.sub("ñ", "ny", s.lower()).translate(_FOLD)
+    s = re.sub("\u00f1|n\u0303", "ny", s.lower()).translate(_FOLD)
     return re.sub("[^a-z0-9]", "", s).upper()
 
 
