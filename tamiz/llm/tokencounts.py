@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 import tiktoken
@@ -39,8 +40,10 @@ WORDS, BPE = "words-1", "bpe50k-1"
 ROLLUP = "source string, lang string, version string, docs long, tokens long"
 
 
+@cache
 def encoding(folder: str = TOKENIZERS, file: str = VOCABULARY) -> tiktoken.Encoding:
-    with open(f"{folder}/{file}", "rb") as f:  # on each worker: the vocabulary is installed beside the library
+    """The tokenizer, read once for each worker process."""
+    with open(f"{folder}/{file}", "rb") as f:  # the vocabulary is installed on each machine, beside the library
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
     return tiktoken.Encoding(file, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -49,9 +52,8 @@ def token_counts(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     """(doc_id, source, lang, words, bpe) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = None
         for batch in batches:
-            encode = encode or encoding(folder).encode_ordinary
+            encode = encoding(folder).encode_ordinary
             words, bpe = [], []
             for text in batch.column("text"):
                 text = text.as_py() or ""
