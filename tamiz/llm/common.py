@@ -59,6 +59,14 @@ def text_key(text: Column | str = "text") -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), F.lit(7))
 
 
+def first_by_hash(rows: DataFrame, key: Column, sample: int) -> DataFrame:
+    """The rows of the smallest hashes, at most `sample`. Hashes that can't be among them go before rows are gathered."""
+    count = rows.count()
+    if count > 2 * sample:
+        rows = rows.where(key < F.lit(int(-(2**63) + 2**64 * 1.5 * sample / count)))
+    return rows.orderBy(key).limit(sample)
+
+
 def drop_rows(docs: DataFrame, gone: DataFrame, rows: int) -> DataFrame:
     """docs without the rows whose (doc_id, text_key) are in gone(doc_id, th), which has so many rows."""
     keys = gone.select(F.col("doc_id").alias("__gone_id"), F.col("th").alias("__gone_th"))

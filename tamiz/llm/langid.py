@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.llm.common import drop_rows, stash, text_key
+from tamiz.llm.common import drop_rows, first_by_hash, stash, text_key
 
 #: Buckets of the hashed features.
 WIDTH = 1 << 12
@@ -141,8 +141,8 @@ class Model:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of the labelled documents, docs(text, lang): of at most `sample` of them."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"))
-    chosen = rows.orderBy(F.xxhash64("text", "lang")).limit(sample)
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    chosen = first_by_hash(rows, F.xxhash64("doc_id", "text", "lang"), sample).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

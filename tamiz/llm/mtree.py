@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamiz.llm.common import stash
+from tamiz.llm.common import first_by_hash, stash
 
 LAST = 2**63 - 1
 #: A page of a tree: children holds the inner page's pages, ids the leaf's vectors; near are the distances to the page's
@@ -162,7 +162,7 @@ class Tree:
 
 def choose_pivots(rows: DataFrame, most: float, count: int, sample: int, each: int, limit: int) -> dict[int, np.ndarray]:
     """Pivots for each vector length, as lifted vectors, of a sample of at most `sample` vectors."""
-    got = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(sample).select("v", "n2", "dim").collect()
+    got = first_by_hash(rows, F.xxhash64("vec_id", "v"), sample).select("v", "n2", "dim").collect()
     pivots = {}
     for dim in sorted({r.dim for r in got}):
         v = np.array([r.v for r in got if r.dim == dim], dtype=np.float64)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.llm.common import maybe_broadcast, stash
+from tamiz.llm.common import first_by_hash, maybe_broadcast, stash
 from tamiz.llm.simhash import shingle_digests
 
 #: Labelled documents that the weights are fitted on, at most; stems that are kept, at most; their lengths.
@@ -177,10 +177,10 @@ def patterns(text: str | None, lexicon: Lexicon, machine: Transducer) -> tuple[n
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of the labelled documents that may be learned from."""
+    """(doc_id, text, toxic) of the labelled documents that may be learned from."""
     known = labels.where(~held_out() & F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("l"), F.col("toxic").cast("int").alias("toxic"))
     texts = docs.where(~held_out()).select(F.col("doc_id").cast("long").alias("d"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return texts.join(maybe_broadcast(known, known.count()), F.col("d") == F.col("l")).select("text", "toxic")
+    return texts.join(maybe_broadcast(known, known.count()), F.col("d") == F.col("l")).select(F.col("d").alias("doc_id"), "text", "toxic")
 
 
 def held_out():
@@ -278,14 +278,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = stash(labelled(docs, labels), "labelled")
     lexicon = Lexicon(learn_stems(rows))
     machine = grammar()
-    chosen = rows.withColumn("o", F.xxhash64("text", "toxic"))
+    chosen = first_by_hash(rows, F.xxhash64("doc_id", "text", "toxic"), sample).select("text", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [np.log1p(patterns(t.as_py(), lexicon, machine)[0]).tolist() for t in batch.column("text")]
-            yield pa.record_batch([batch.column("o"), batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], names=["o", "toxic", "x"])
+            yield pa.record_batch([batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    got = chosen.mapInArrow(run, "o long, toxic int, x array<double>").orderBy("o").limit(sample).collect()
+    got = chosen.repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "toxic int, x array<double>").collect()
     y = np.array([r.toxic for r in got], dtype=float)
     if not 0 < y.sum() < len(y):
         return Model(lexicon, np.array([_SET[how] for _, _, how in PATTERNS]), BIAS)
