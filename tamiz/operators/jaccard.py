@@ -38,8 +38,9 @@ def bag_links(tokens: DataFrame, threshold: float) -> DataFrame:
         raise ValueError("threshold must be in (0, 1]")
     own = bags(tokens)
     # Repeats are told apart by a number, so that a bag is a set of (token, number).
-    each = own.where("n > 0").select("bag", "n", F.posexplode("tokens").alias("p", "t"), "tokens")
-    each = each.select("bag", "n", F.concat_ws("\x01", "t", (F.col("p") - F.array_position("tokens", F.col("t"))).cast("string")).alias("t"))
+    counts = own.where("n > 0").select("bag", "n", F.explode("tokens").alias("t")).groupBy("bag", "n", "t").agg(F.count("*").cast("int").alias("tf"))
+    each = counts.select("bag", "n", "t", F.explode(F.sequence(F.lit(1), F.col("tf"))).alias("i"))
+    each = each.select("bag", "n", F.concat_ws("\x01", "t", F.col("i").cast("string")).alias("t"))
     often = each.groupBy("t").agg(F.count("*").alias("df"))
     ranked = each.join(often, "t").groupBy("bag", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts"))
     ranked = ranked.withColumn("ts", F.transform("ts", lambda x: x["t"]))
