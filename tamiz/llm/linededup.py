@@ -4,7 +4,8 @@ Lines of `min_chars` or more characters are compared over all documents; two dif
 most `tau` insertions, deletions and substitutions apart. A line of length l is cut into tau + 1 segments: within tau
 edits one of them is left whole, and stands in the other line at one of a few places, which depend on the difference of
 the lengths. The segments are index keys (length, segment, content), the substrings at these places are probes, and
-equal keys make the candidates (those of keys that many lines share, by further segments), whose distance a band of 2 tau + 1 diagonals held in the bits of one word decides.
+equal keys make the candidates, whose distance a band of 2 tau + 1 diagonals held in the bits of one word decides. Lines of keys that many lines share are cut
+into more segments instead, of which all but tau together are the key.
 
 Copies are put together first: a class is all places of one line text, and only its key is compared. Its first place, by
 doc_id and line number, stands for it. A line is kept if it is the first place of its class and no linked class begins
@@ -17,6 +18,9 @@ table gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
+import json
+from itertools import combinations, product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +40,9 @@ def place(doc_id: Column, line_no: Column) -> Column:
     return (F.coalesce(doc_id, F.lit(_LAST)).cast("decimal(19,0)") * F.lit(2**32).cast("decimal(10,0)") + line_no).cast("decimal(38,0)")
 
 
-def pieces(text: Column, delta: int, tau: int) -> list[tuple[Column, Column, bool]]:
-    """Keys of a string that may be `delta` longer than the one that is indexed, what is left of it without the key's
-    piece, and whether the key is the one under which the string itself is indexed. A piece that doesn't fit has no key."""
+def pieces(text: Column, delta: int, tau: int) -> list[tuple[Column, bool]]:
+    """Keys of a string that may be `delta` longer than the one that is indexed, and whether the key is the one under which
+    the string itself is indexed. A piece that doesn't fit has no key."""
     parts, size = tau + 1, F.char_length(text)
     length = size - delta  # of the indexed string
     base, short = F.floor(length / parts), F.lit(parts) - length % parts  # the longer segments come last
@@ -48,22 +52,64 @@ def pieces(text: Column, delta: int, tau: int) -> list[tuple[Column, Column, boo
         for shift in range(max(-i, delta - (tau - i)), min(i, delta + (tau - i)) + 1):
             at = (start + shift).cast("int")
             fits = (length > 0) & (at >= 1) & (at + width - 1 <= size)
-            rest = F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + width, size))
-            out.append((F.when(fits, F.xxhash64(length, F.lit(i), F.substring(text, at, width))), rest, delta == shift == 0))
+            out.append((F.when(fits, F.xxhash64(length, F.lit(i), F.substring(text, at, width))), delta == shift == 0))
     return out
 
 
-def deeper(rows: DataFrame, tau: int, first: bool) -> DataFrame:
-    """(h1, k, rest, delta, indexed): the keys of the next level of rows(h1, k, rest, delta, indexed).
+def patterns(tau: int, parts: int) -> list[list[dict]]:
+    """For each delta from 0 to tau, the ways in which a string of `parts` segments becomes one that is `delta` longer by
+    edits within some of them: `id` of these segments, `at` (segment * (2 tau + 1) + shift + tau) where each of the others
+    stands in the new string, and `gaps`, the same of those edited ones that keep their length."""
+    wide = 2 * tau + 1
+    out: list[list[dict]] = [[] for _ in range(tau + 1)]
+    edited = [s for n in range(1, tau + 1) for s in combinations(range(parts), n)]
+    for number, some in enumerate(edited):
+        for grows in product(range(-tau, tau + 1), repeat=len(some)):
+            if not 0 <= sum(grows) <= tau or sum(max(1, abs(g)) for g in grows) > tau:
+                continue
+            by, shift, at, gaps = dict(zip(some, grows, strict=True)), 0, [], [-1] * tau
+            for i in range(parts):
+                here = i * wide + shift + tau
+                if i not in by:
+                    at.append(here)
+                    continue
+                if not by[i]:
+                    gaps[some.index(i)] = here
+                shift += by[i]
+            out[shift].append({"id": number, "at": at, "gaps": gaps, "own": not any(grows)})
+    return out
+
 
-    If a piece stands in both lines, what is left of them is within tau edits, too: its pieces extend the key.
+def crowded(lined: DataFrame, tau: int, parts: int = 16) -> DataFrame:
+    """(a, b), a < b, of lined(h1, line) that may be within tau edits: each is cut into `parts` segments, and all but at
+    most tau of them are left whole, at places that the edited ones' growth decides.
+
+    A key is the whole segments together, for each choice of the edited ones; these must differ in both lines. So a pair
+    meets under the one choice that fits it, and lines that only share a part of their text don't meet.
     """
-    out = None
-    for d in range(tau + 1):
-        each = [F.struct((k if first else F.when(k.isNotNull(), F.xxhash64("k", k))).alias("k"), rest.alias("rest"), (F.col("indexed") & F.lit(ix)).alias("indexed")) for k, rest, ix in pieces(F.col("rest"), d, tau)]
-        part = rows.where(F.col("delta") == d).select("h1", F.lit(d).alias("delta"), F.explode(F.array(*each)).alias("x")).select("h1", "x.k", "x.rest", "delta", "x.indexed")
-        out = part if out is None else out.unionByName(part)
-    return out.where("k is not null")
+    size, wide = F.char_length("line"), 2 * tau + 1
+    rows = lined.select("h1", "line", F.explode(F.sequence(F.lit(0), F.lit(tau))).alias("d")).select("h1", "line", "d", size.alias("size"), (size - F.col("d")).alias("length"))
+    start = lambda i: (i * F.floor(F.col("length") / parts) + F.greatest(F.lit(0), i - parts + F.col("length") % parts)).cast("int")  # noqa: E731  the longer segments come last
+
+    def segment(x: Column) -> Column:
+        i, shift = F.floor(x / wide).cast("int"), (x % wide).cast("int") - tau
+        return F.when((start(i) + shift >= 0) & (start(i + 1) + shift <= F.col("size")), F.xxhash64(F.substring(F.col("line"), start(i) + shift + 1, start(i + 1) - start(i)))).otherwise(F.lit(-1))
+
+    rows = rows.where("length > 0").select("h1", "d", "length", F.transform(F.sequence(F.lit(0), F.lit(parts * wide - 1)), segment).alias("s"))
+    rows = stash(rows, "segments")
+    ways, kind = patterns(tau, parts), "array<array<struct<id: int, at: array<int>, gaps: array<int>, own: boolean>>>"
+
+    def keyed(ways: list[list[dict]], name: str) -> DataFrame:
+        each = rows.where(F.col("d") < len(ways)).select("h1", "d", "length", "s", F.explode(F.get(F.from_json(F.lit(json.dumps(ways)), kind), F.col("d"))).alias("w"))
+        key = F.xxhash64("length", "w.id", F.transform("w.at", lambda x: F.get(F.col("s"), x)))
+        return each.select(key.alias("k"), F.col("h1").alias(name), F.col("d").alias(f"d_{name}"), *[F.get(F.col("s"), F.get(F.col("w.gaps"), F.lit(g))).alias(f"{name}{g}") for g in range(tau)])
+
+    index, probes = keyed([[w for w in ways[0] if w["own"]]], "a"), keyed(ways, "b")
+    differ = (F.col("a") != F.col("b")) & ((F.col("d_b") > 0) | (F.col("a") < F.col("b")))
+    for g in range(tau):
+        differ &= F.coalesce(F.col(f"a{g}") != F.col(f"b{g}"), F.lit(True))
+    pairs = index.join(probes, (index["k"] == probes["k"]) & differ)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def with_distance(pairs: DataFrame, a: str, b: str, tau: int) -> DataFrame:
@@ -137,18 +183,18 @@ def candidates(index: DataFrame, probes: DataFrame, hot: DataFrame, rows: int) -
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def line_classes(docs: DataFrame, tau: int = 2, min_chars: int = 20, bucket: int = 8, levels: int = 5, broadcast_rows: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def line_classes(docs: DataFrame, tau: int = 2, min_chars: int = 20, bucket: int = 8, broadcast_rows: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Classes (h1, h2, n, at), links (a, b, edits) between the classes' h1, and places (doc_id, th, line_no, h1, h2).
 
-    A key that more than `bucket` classes are indexed under makes no pairs: the lines that have it get the keys of the
-    next level that extend it, as deep as that makes fewer; the last level makes all its pairs.
+    A key that more than `bucket` classes are indexed under makes no pairs: the lines that have such keys are compared
+    among themselves by keys of more and smaller segments.
     """
     spark = docs.sparkSession
     found = lines(docs).where(F.char_length("line") >= max(min_chars, tau + 1))
     keys = [F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2")]
     own = [x for d in range(tau + 1) for x in pieces(F.col("line"), d, tau)]
-    sig, index = [f"k{i}" for i in range(len(own))], [f"k{i}" for i, (_, _, indexed) in enumerate(own) if indexed]
-    flat = found.select(*keys, place(F.col("doc_id"), F.col("line_no")).alias("at"), *[k.alias(s) for s, (k, _, _) in zip(sig, own, strict=True)])
+    sig, index = [f"k{i}" for i in range(len(own))], [f"k{i}" for i, (_, indexed) in enumerate(own) if indexed]
+    flat = found.select(*keys, place(F.col("doc_id"), F.col("line_no")).alias("at"), *[k.alias(s) for s, (k, _) in zip(sig, own, strict=True)])
     classes = stash(flat.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("at").alias("at"), *[F.min(s).alias(s) for s in sig]), "classes")
 
     def texts(heads: DataFrame) -> DataFrame:
@@ -160,24 +206,14 @@ def line_classes(docs: DataFrame, tau: int = 2, min_chars: int = 20, bucket: int
 
     left = classes.select(F.explode(F.array(*index)).alias("k"), F.col("h1").alias("a"))
     right = classes.select(F.explode(F.array(*sig)).alias("k"), F.col("h1").alias("b")).where("k is not null")
-    pairs, rows = None, None
-    for level in range(1, levels + 1):
-        hot = left.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > (bucket if level < levels else 2**62)).select("k")
-        hot = stash(hot, "hot")
-        many = hot.count()
-        more = stash(candidates(left, right, hot, many), "pairs")
-        pairs = more if pairs is None else pairs.unionByName(more)
-        if not many:
-            break
-        if rows is None:
-            lined = texts(right.join(maybe_broadcast(hot, many), "k", "left_semi").select(F.col("b").alias("h1")).distinct())
-            lined = lined.repartition(max(spark.sparkContext.defaultParallelism, many // 1000), "h1")
-            deltas = F.explode(F.array(*[F.lit(d) for d in range(tau + 1)])).alias("delta")
-            rows = deeper(lined.select("h1", F.lit(None).cast("long").alias("k"), F.col("line").alias("rest"), deltas, F.lit(True).alias("indexed")), tau, True)
-        rows = stash(rows.join(maybe_broadcast(hot, many), "k", "left_semi"), "extended")
-        rows = stash(deeper(rows, tau, False), "deeper")
-        left = rows.where("indexed").select("k", F.col("h1").alias("a")).distinct()
-        right = rows.select("k", F.col("h1").alias("b")).distinct()
+    hot = stash(left.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("k"), "hot")
+    many = hot.count()
+    pairs = candidates(left, right, hot, many)
+    if many:
+        heads = right.join(maybe_broadcast(hot, many), "k", "left_semi").select(F.col("b").alias("h1")).distinct()
+        lined = texts(heads)
+        lined = lined.repartition(max(spark.sparkContext.defaultParallelism, lined.count() // 1000), "h1")
+        pairs = pairs.unionByName(crowded(lined, tau))
     pairs = stash(pairs.distinct(), "pairs")
     lined = texts(pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct())
     both = pairs.join(lined.select(F.col("h1").alias("a"), F.col("line").alias("la")), "a").join(lined.select(F.col("h1").alias("b"), F.col("line").alias("lb")), "b")
