@@ -28,7 +28,7 @@ from tamiz.llm.common import maybe_broadcast, stash, text_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Prime multipliers for the permutations, each larger than any number of blocks of a source may be.
-PRIMES = (2654435761, 2246822519, 3266489917, 3182179201)
+PRIMES = (2654435761, 2246822519, 3266489917, 3182179229)
 
 
 def sizes(docs: DataFrame) -> DataFrame:

@@ -68,3 +68,13 @@ def test_pieces_are_the_mix(documents):
 def test_plan_has_no_python(documents):
     plan = mixing.query(documents)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_permutations_are_bijections(spark):
+    assert all(p % d for p in mixing.PRIMES for d in range(2, int(p**0.5) + 1))
+    # Multipliers are chosen by a hash of k: each of the four is among 40 of them.
+    for n in (53, 457, 1060):
+        at = mixing.permuted(F.col("id"), F.lit(n), F.col("k"), 11)
+        rows = spark.range(n).crossJoin(spark.range(40).withColumnRenamed("id", "k")).select("k", at.alias("at"))
+        seen = rows.groupBy("k").agg(F.countDistinct("at").alias("n"), F.min("at").alias("a"), F.max("at").alias("z")).collect()
+        assert {(r.n, r.a, r.z) for r in seen} == {(n, 0, n - 1)}
