@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamiz.llm import decontam, langid, linededup, mixing, simhash
+from tamiz.llm import decontam, langid, linededup, mixing, neardup
 from tamiz.llm.common import shared_dir, table
 
 
@@ -22,8 +22,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays."""
-    return simhash.dedup(docs)
+    """One document of each group stays, linked by SimHash or by a similarity of 0.8 of their five-word shingles."""
+    return neardup.dedup(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
