@@ -4,30 +4,64 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side with a few fixed-width columns is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a side is broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 32_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a local one only where none is set, as in tests."""
+    """The folder in spark.checkpoint.dir, which all executors share; a local one only where none is set and all is on one
+    machine, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tamiz-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+#: For each open scope, the folders that were written in it.
+_scopes: list[list[str]] = []
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again: its lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for paths in _scopes[-1:]:
+        paths.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stashed = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def unstash(df: DataFrame) -> None:
+    """Removes the files of a stashed table that nothing reads any more."""
+    remove(df.sparkSession, df.stashed)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables stashed within are removed at the end: what is made of them must have been written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,9 +82,9 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
-def maybe_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df, which has so many rows, marked for broadcast if they are few enough."""
-    return F.broadcast(df) if rows <= most else df
+def maybe_broadcast(df: DataFrame, rows: int, width: int = 64) -> DataFrame:
+    """df, which has so many rows of so many bytes in memory, marked for broadcast if it is small enough."""
+    return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
 
 
 def text_key(text: Column | str = "text") -> Column:
@@ -60,11 +94,15 @@ def text_key(text: Column | str = "text") -> Column:
 
 
 def first_by_hash(rows: DataFrame, key: Column, sample: int) -> DataFrame:
-    """The rows of the smallest hashes, at most `sample`. Hashes that can't be among them go before rows are gathered."""
+    """The different rows of the smallest hashes, about `sample` and no more. Only hashes are gathered to find the largest of
+    these; the rows themselves stay where they are."""
+    name = fresh(rows, "hash")
+    keyed = rows.withColumn(name, key)
     count = rows.count()
     if count > 2 * sample:
-        rows = rows.where(key < F.lit(int(-(2**63) + 2**64 * 1.5 * sample / count)))
-    return rows.orderBy(key).limit(sample)
+        keyed = keyed.where(F.col(name) < F.lit(int(-(2**63) + 2**64 * 1.5 * sample / count)))
+    last = keyed.select(name).distinct().orderBy(name).limit(sample).agg(F.max(name)).first()[0]
+    return keyed.where(F.col(name) <= F.lit(last)).dropDuplicates([name]).drop(name)
 
 
 def drop_rows(docs: DataFrame, gone: DataFrame, rows: int) -> DataFrame:
@@ -93,6 +131,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        e = stash(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        old, e = e, stash(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        unstash(old)
     roots = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -1,19 +1,25 @@
 """Near-duplicate lines by a segment-partition edit join (operator 5), DataFrame functions only.
 
-Lines of `min_chars` or more characters are compared over all documents; two different ones are linked when they are at
-most `tau` insertions, deletions and substitutions apart. A line of length l is cut into tau + 1 segments: within tau
-edits one of them is left whole, and stands in the other line at one of a few places, which depend on the difference of
-the lengths. The segments are index keys (length, segment, content), the substrings at these places are probes, and
-equal keys make the candidates, whose distance a band of 2 tau + 1 diagonals held in the bits of one word decides. Lines of keys that many lines share are cut
-into more segments instead, of which all but tau together are the key.
-
-Copies are put together first: a class is all places of one line text, and only its key is compared. Its first place, by
-doc_id and line number, stands for it. A line is kept if it is the first place of its class and no linked class begins
-earlier.
-
-Defined cases: null texts have no lines; shorter lines, blank ones among them, are kept and have no class; a null doc_id
-comes after all others; repeated rows of a document are one document, whose lines are not copies of each other; an empty
-table gives an empty table; other columns are not read.
+Two different lines of `min_chars` or more characters, over all documents, are linked when they are at most `tau`
+insertions, deletions and substitutions apart. A line of length l is cut into tau + 1 segments: within tau edits one of
+them is left whole, and stands in the other line at one of a few places, which depend on the difference of the lengths.
+The segments are index keys (length, segment, content), the substrings at these places are probes. This first pass only
+tells, by a count that combines before its shuffle, which lines share a key with another; it makes no pairs.
+
+These lines are cut once more, into `parts` segments, of which all but at most tau are left whole: these together are the
+key, for each choice of the edited ones. Pairs of a key whose edited segments differ, and whose sketches allow tau edits,
+are candidates. A sketch has a bit for each class of characters, or of neighbouring pairs, that tells whether the line has
+an odd number of them; an edit turns two bits of the first and four of the second at most. A band of 2 tau + 1 diagonals
+held in the bits of one word decides the candidates' distance. All lines go the same way, whatever number share a key.
+
+Copies are put together first: a class is all places of one line text, however short, and only its key is compared. Its
+first place, by doc_id and line number, stands for it. A line is kept if it is the first place of its class and no linked
+class begins earlier.
+
+Defined cases: null texts have no lines; lines of white space alone are kept and have no class; lines of fewer than
+`min_chars` characters, of which two edits would change a good part, are linked to their copies alone; a null doc_id comes
+after all others; repeated rows of a document are one document, whose lines are not copies of each other; an empty table
+gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -80,7 +86,16 @@ def patterns(tau: int, parts: int) -> list[list[dict]]:
     return out
 
 
-def crowded(lined: DataFrame, tau: int, parts: int = 16) -> DataFrame:
+def sketch(line: Column, n: int) -> Column:
+    """64 bits, one for each class of substrings of n characters: whether the line has an odd number of them."""
+    chars = F.split(line, "")
+    bit = lambda *c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(*c), F.lit(64)).cast("int"))
+    grams = lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - n), lambda i: bit(*[F.get(x, i + j) for j in range(n)]))
+    odd = lambda x: F.aggregate(grams(x), F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
+    return F.when(F.char_length(line) >= n, let(chars, odd)).otherwise(F.lit(0).cast("long"))
+
+
+def candidates(lined: DataFrame, tau: int, parts: int = 4) -> DataFrame:
     """(a, b), a < b, of lined(h1, line) that may be within tau edits: each is cut into `parts` segments, and all but at
     most tau of them are left whole, at places that the edited ones' growth decides.
 
@@ -88,26 +103,29 @@ def crowded(lined: DataFrame, tau: int, parts: int = 16) -> DataFrame:
     meets under the one choice that fits it, and lines that only share a part of their text don't meet.
     """
     size, wide = F.char_length("line"), 2 * tau + 1
-    rows = lined.select("h1", "line", F.explode(F.sequence(F.lit(0), F.lit(tau))).alias("d")).select("h1", "line", "d", size.alias("size"), (size - F.col("d")).alias("length"))
+    rows = lined.select("h1", "line", sketch(F.col("line"), 1).alias("one"), sketch(F.col("line"), 2).alias("two"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(tau))).alias("d")).select("*", size.alias("size"), (size - F.col("d")).alias("length"))
     start = lambda i: (i * F.floor(F.col("length") / parts) + F.greatest(F.lit(0), i - parts + F.col("length") % parts)).cast("int")  # noqa: E731  the longer segments come last
 
     def segment(x: Column) -> Column:
         i, shift = F.floor(x / wide).cast("int"), (x % wide).cast("int") - tau
         return F.when((start(i) + shift >= 0) & (start(i + 1) + shift <= F.col("size")), F.xxhash64(F.substring(F.col("line"), start(i) + shift + 1, start(i + 1) - start(i)))).otherwise(F.lit(-1))
 
-    rows = rows.where("length > 0").select("h1", "d", "length", F.transform(F.sequence(F.lit(0), F.lit(parts * wide - 1)), segment).alias("s"))
+    rows = rows.select("h1", "d", "length", "one", "two", F.transform(F.sequence(F.lit(0), F.lit(parts * wide - 1)), segment).alias("s"))
     rows = stash(rows, "segments")
     ways, kind = patterns(tau, parts), "array<array<struct<id: int, at: array<int>, gaps: array<int>, own: boolean>>>"
 
     def keyed(ways: list[list[dict]], name: str) -> DataFrame:
-        each = rows.where(F.col("d") < len(ways)).select("h1", "d", "length", "s", F.explode(F.get(F.from_json(F.lit(json.dumps(ways)), kind), F.col("d"))).alias("w"))
+        each = rows.where(F.col("d") < len(ways)).select("h1", "d", "length", "one", "two", "s", F.explode(F.get(F.from_json(F.lit(json.dumps(ways)), kind), F.col("d"))).alias("w"))
         key = F.xxhash64("length", "w.id", F.transform("w.at", lambda x: F.get(F.col("s"), x)))
-        return each.select(key.alias("k"), F.col("h1").alias(name), F.col("d").alias(f"d_{name}"), *[F.get(F.col("s"), F.get(F.col("w.gaps"), F.lit(g))).alias(f"{name}{g}") for g in range(tau)])
+        return each.select(key.alias("k"), F.col("h1").alias(name), F.col("d").alias(f"d_{name}"), F.col("one").alias(f"one_{name}"), F.col("two").alias(f"two_{name}"), *[F.get(F.col("s"), F.get(F.col("w.gaps"), F.lit(g))).alias(f"{name}{g}") for g in range(tau)])
 
     index, probes = keyed([[w for w in ways[0] if w["own"]]], "a"), keyed(ways, "b")
     differ = (F.col("a") != F.col("b")) & ((F.col("d_b") > 0) | (F.col("a") < F.col("b")))
     for g in range(tau):
         differ &= F.coalesce(F.col(f"a{g}") != F.col(f"b{g}"), F.lit(True))
+    for n, turned in (("one", 2 * tau), ("two", 4 * tau)):
+        differ &= F.bit_count(F.col(f"{n}_a").bitwiseXOR(F.col(f"{n}_b"))) <= turned
     pairs = index.join(probes, (index["k"] == probes["k"]) & differ)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -176,58 +194,43 @@ def distance(x: Column, y: Column, tau: int) -> Column:
     return F.when(F.abs(m - n) > tau, F.lit(tau + 1)).otherwise(F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["d"]))
 
 
-def candidates(index: DataFrame, probes: DataFrame, hot: DataFrame, rows: int) -> DataFrame:
-    """(a, b) of index(k, a) and probes(k, b) with the same key, other than the hot ones, a < b."""
-    cold = index.join(maybe_broadcast(hot, rows), "k", "left_anti")
-    pairs = cold.join(probes, "k").where("a <> b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def line_classes(docs: DataFrame, tau: int = 2, min_chars: int = 20, bucket: int = 8, broadcast_rows: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Classes (h1, h2, n, at), links (a, b, edits) between the classes' h1, and places (doc_id, th, line_no, h1, h2).
-
-    A key that more than `bucket` classes are indexed under makes no pairs: the lines that have such keys are compared
-    among themselves by keys of more and smaller segments.
-    """
+def line_classes(docs: DataFrame, tau: int = 2, min_chars: int = 20, parts: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes (h1, h2, n, at), links (a, b, edits) between the classes' h1, and places (doc_id, th, line_no, h1, h2)."""
     spark = docs.sparkSession
-    found = lines(docs).where(F.char_length("line") >= max(min_chars, tau + 1))
+    found = lines(docs).where(F.col("line").rlike(r"\S"))
+    least, size = max(min_chars, parts, tau + 1), F.char_length("line")
     keys = [F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2")]
-    own = [x for d in range(tau + 1) for x in pieces(F.col("line"), d, tau)]
-    sig, index = [f"k{i}" for i in range(len(own))], [f"k{i}" for i, (_, indexed) in enumerate(own) if indexed]
-    flat = found.select(*keys, place(F.col("doc_id"), F.col("line_no")).alias("at"), *[k.alias(s) for s, (k, _) in zip(sig, own, strict=True)])
+    own = [x for d in range(tau + 1) for x in pieces(F.col("keyed"), d, tau)]  # null where the line is shorter
+    sig, index = [f"k{i}" for i in range(len(own))], [i for i, (_, indexed) in enumerate(own) if indexed]
+    at = place(F.col("doc_id"), F.col("line_no")).alias("at")
+    flat = found.withColumn("keyed", F.when(size >= least, F.col("line")))
+    flat = flat.select(*keys, at, *[k.alias(s) for s, (k, _) in zip(sig, own, strict=True)])
     classes = stash(flat.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("at").alias("at"), *[F.min(s).alias(s) for s in sig]), "classes")
 
-    def texts(heads: DataFrame) -> DataFrame:
-        """(h1, line) of the classes in heads(h1): the lines at their first places."""
-        heads = stash(heads.join(classes.select("h1", "at"), "h1").select(F.col("h1").alias("e1"), F.col("at").alias("e_at")), "heads")
-        again = found.select(F.xxhash64("line").alias("h1"), place(F.col("doc_id"), F.col("line_no")).alias("at"), "line")
-        got = again.join(maybe_broadcast(heads, heads.count(), broadcast_rows), (F.col("h1") == F.col("e1")) & (F.col("at") == F.col("e_at")))
-        return stash(got.select("h1", "line").distinct(), "texts")
-
-    left = classes.select(F.explode(F.array(*index)).alias("k"), F.col("h1").alias("a"))
-    right = classes.select(F.explode(F.array(*sig)).alias("k"), F.col("h1").alias("b")).where("k is not null")
-    hot = stash(left.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("k"), "hot")
-    many = hot.count()
-    pairs = candidates(left, right, hot, many)
-    if many:
-        heads = right.join(maybe_broadcast(hot, many), "k", "left_semi").select(F.col("b").alias("h1")).distinct()
-        lined = texts(heads)
-        lined = lined.repartition(max(spark.sparkContext.defaultParallelism, lined.count() // 1000), "h1")
-        pairs = pairs.unionByName(crowded(lined, tau))
-    pairs = stash(pairs.distinct(), "pairs")
-    lined = texts(pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct())
+    # A key is shared if one line is indexed under it and another, indexed or not, has it.
+    probes = classes.select("h1", F.posexplode(F.array(*sig)).alias("i", "k")).where("k is not null").select("h1", "k", F.col("i").isin(index).alias("own"))
+    shared = probes.groupBy("k").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("own").alias("own"))
+    shared = stash(shared.where("own and low <> high").select("k"), "shared")
+    heads = probes.join(maybe_broadcast(shared, shared.count(), 16), "k", "left_semi").select("h1").distinct()
+    heads = stash(heads.join(classes.select("h1", "at"), "h1").select(F.col("h1").alias("e1"), F.col("at").alias("e_at")), "heads")
+    again = found.where(size >= least).select(F.xxhash64("line").alias("h1"), at, "line")
+    some = heads.count()
+    lined = again.join(maybe_broadcast(heads, some), (F.col("h1") == F.col("e1")) & (F.col("at") == F.col("e_at")))
+    lined = stash(lined.select("h1", "line").distinct().repartition(max(spark.sparkContext.defaultParallelism, some // 5000), "h1"), "lined")
+
+    pairs = stash(candidates(lined, tau, parts), "pairs")
     both = pairs.join(lined.select(F.col("h1").alias("a"), F.col("line").alias("la")), "a").join(lined.select(F.col("h1").alias("b"), F.col("line").alias("lb")), "b")
     # Few bytes, but each pair is work: dealt to as many tasks as there are thousands of pairs, or cores.
-    parts = max(spark.sparkContext.defaultParallelism, pairs.count() // 5000)
+    tasks = max(spark.sparkContext.defaultParallelism, pairs.count() // 5000)
     # Written before the filter: the optimizer would put the distance's definition into it, array by array.
-    edits = stash(with_distance(both.repartition(parts, "a", "b"), "la", "lb", tau).select("a", "b", "edits"), "edits")
+    edits = stash(with_distance(both.repartition(tasks, "a", "b"), "la", "lb", tau).select("a", "b", "edits"), "edits")
     links = edits.where(F.col("edits") <= tau).distinct()
     places = found.select("doc_id", "th", "line_no", *keys)
     return classes.select("h1", "h2", "n", "at"), links, places
 
 
 def line_duplicates(docs: DataFrame, tau: int = 2, min_chars: int = 20) -> DataFrame:
-    """(doc_id, th, line_no, class_doc, class_line, copies, links, keep) of each line that is compared.
+    """(doc_id, th, line_no, class_doc, class_line, copies, links, keep) of each line that isn't blank.
 
     class_doc and class_line are the first place of its text, copies the number of its places, links that of the
     different texts within tau edits.
@@ -238,7 +241,7 @@ def line_duplicates(docs: DataFrame, tau: int = 2, min_chars: int = 20) -> DataF
     linked = ways.join(at, "o").groupBy("h").agg(F.countDistinct("o").alias("links"), F.min("o_at").alias("first")).withColumnRenamed("h", "h1")
     told = classes.join(linked, "h1", "left").where("n > 1 or links is not null")
     told = stash(told, "told").select(F.col("h1").alias("t1"), F.col("h2").alias("t2"), "n", "at", "links", "first")
-    told = maybe_broadcast(told, told.count(), 300_000)
+    told = maybe_broadcast(told, told.count(), 128)
     rows = places.join(told, (F.col("h1") == F.col("t1")) & (F.col("h2") == F.col("t2")), "left")
     here = place(F.col("doc_id"), F.col("line_no"))
     keep = F.col("at").isNull() | ((here == F.col("at")) & (F.col("first").isNull() | (F.col("first") > here)))
@@ -254,24 +257,24 @@ def dedup_lines(docs: DataFrame, tau: int = 2, min_chars: int = 20) -> DataFrame
     An integer column n_chars follows the text.
     """
     lost = line_duplicates(docs, tau, min_chars).where(~F.col("keep"))
-    lost = stash(lost.groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("lines")), "lost")
-    keys = lost.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("lines").alias("__lines"))
-    rows = docs.join(maybe_broadcast(keys, lost.count(), 200_000), docs["doc_id"].eqNullSafe(keys["__id"]) & (text_key(docs["text"]) == keys["__th"]), "left")
+    names = [fresh(docs, n) for n in ("lost_id", "lost_th", "lost_lines", "text_now")]
+    key, th, gone, new = names
+    lost = stash(lost.groupBy(F.col("doc_id").alias(key), F.col("th").alias(th)).agg(F.collect_set("line_no").alias(gone)), "lost")  # at most a document's lines
+    rows, numbers = lost.agg(F.count("*"), F.coalesce(F.sum(F.size(gone)), F.lit(0))).first()
+    match = docs["doc_id"].eqNullSafe(lost[key]) & (text_key(docs["text"]) == lost[th])
+    both = docs.join(maybe_broadcast(lost, rows, 64 + 4 * numbers // max(1, rows)), match, "left")
 
     def rest(parts: Column) -> Column:
-        numbers = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__lines"))
-        return F.array_join(F.transform(numbers, lambda i: F.get(parts, i)), "\n")
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone)), lambda i: F.get(parts, i)), "\n")
 
-    left = let(F.split(docs["text"], "\n"), rest)
-    text = F.when(F.col("__lines").isNull(), docs["text"]).otherwise(left)
-    new = fresh(docs, "text_now")
-    rows = rows.withColumn(new, text).where(F.col("__lines").isNull() | F.col(new).rlike(r"\S"))
+    text = F.when(F.col(gone).isNull(), docs["text"]).otherwise(let(F.split(docs["text"], "\n"), rest))
+    both = both.withColumn(new, text).where(F.col(gone).isNull() | F.col(new).rlike(r"\S"))
     now = {"text": F.col(new)}
     if dict(docs.dtypes).get("n_chars") in ("bigint", "int"):
-        now["n_chars"] = F.when(F.col("__lines").isNull(), F.col("n_chars")).otherwise(F.char_length(F.col(new)).cast(dict(docs.dtypes)["n_chars"]))
-    return rows.select(*[now[c].alias(c) if c in now else docs[c] for c in docs.columns])
+        now["n_chars"] = F.when(F.col(gone).isNull(), docs["n_chars"]).otherwise(F.char_length(F.col(new)).cast(dict(docs.dtypes)["n_chars"]))
+    return both.select(*[now[c].alias(c) if c in now else docs[c] for c in docs.columns])
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """A row for each line that is compared: its class, the class's places and links, and whether it is kept."""
+    """A row for each line that isn't blank: its class, the class's places and links, and whether it is kept."""
     return line_duplicates(docs).drop("th")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.llm.common import BROADCAST_ROWS, components, drop_rows, maybe_broadcast, stash, text_key
+from tamiz.llm.common import components, drop_rows, maybe_broadcast, stash, text_key
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.float64)
 
@@ -132,7 +132,7 @@ def simhash_groups(docs: DataFrame, words: int = 3, max_bits: int = 2, bucket: i
     labels = roots.join(names, "root").select(F.col("node").alias("fp"), "component")
     alone = nodes.where("n > 1").join(roots, nodes["fp"] == roots["node"], "left_anti").select("fp", F.col("low").alias("component"))
     labels = stash(labels.unionByName(alone), "labels")
-    out = prints.join(maybe_broadcast(labels, labels.count(), BROADCAST_ROWS), "fp", "left")
+    out = prints.join(maybe_broadcast(labels, labels.count()), "fp", "left")
     return out.select("doc_id", "th", "fp", F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tamiz.llm import linededup
 
 
@@ -16,11 +18,11 @@ def lev(a, b):
 
 def brute(rows, tau=2, least=20):
     """(doc, line) -> (class, links, keep) of lines of rows(doc_id, text), ids unique."""
-    found = [(d, n, x) for d, t in rows if t is not None for n, x in enumerate(t.split("\n")) if len(x) >= least]
+    found = [(d, n, x) for d, t in rows if t is not None for n, x in enumerate(t.split("\n")) if re.search(r"(?a:\S)", x)]
     first, out = {}, {}
     for d, n, x in sorted(found):
         first.setdefault(x, (d, n))
-    linked = {x: [y for y in first if x != y and abs(len(x) - len(y)) <= tau and lev(x, y) <= tau] for x in first}
+    linked = {x: [y for y in first if x != y and min(len(x), len(y)) >= least and abs(len(x) - len(y)) <= tau and lev(x, y) <= tau] for x in first}
     for d, n, x in found:
         keep = first[x] == (d, n) and all(first[y] > (d, n) for y in linked[x])
         out[d, n] = (first[x], len(linked[x]), keep)
@@ -89,8 +91,14 @@ def test_plan_has_no_python(documents):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
-def test_deeper_levels_lose_no_link(spark, make):
-    """Many variants of a few lines, so that keys of each level are shared; the result is that of the plain way."""
+def test_short_lines_are_linked_to_their_copies_alone(make):
+    rows = [(1, "Yes.\nNo.\n\n  "), (2, "Yes.\nYes!\n"), (3, "Yes.")]
+    assert ours(make(rows)) == brute(rows)
+    assert {r.doc_id: r.text for r in linededup.dedup_lines(make(rows)).collect()} == {1: "Yes.\nNo.\n\n  ", 2: "Yes!\n"}
+
+
+def test_many_variants_of_a_line(spark, make):
+    """Many lines share each key, and more segments find the same links."""
     rnd = random.Random(8)
     base = ["".join(rnd.choice("abcdefgh ") for _ in range(60)) for _ in range(3)]
     rows = []
@@ -102,8 +110,30 @@ def test_deeper_levels_lose_no_link(spark, make):
         rows.append((d, "".join(x)))
     docs = make(rows)
 
-    def links(bucket):
-        return {(r.a, r.b, r.edits) for r in linededup.line_classes(docs, bucket=bucket)[1].collect()}
+    def links(parts):
+        return {(r.a, r.b, r.edits) for r in linededup.line_classes(docs, parts=parts)[1].collect()}
 
-    assert links(1) == links(10_000)
+    assert links(4) == links(7)
     assert ours(docs) == brute(rows)
+
+
+def test_sketches_turn_few_bits(spark):
+    rnd = random.Random(6)
+    pairs = []
+    for _ in range(300):
+        a = [rnd.choice("abcdefghijklmno é") for _ in range(rnd.randint(2, 40))]
+        b = list(a)
+        for _ in range(2):
+            k, i = rnd.randint(0, 2), rnd.randrange(len(b) + 1)
+            b[i : i + (k > 0)] = [] if k == 1 else [rnd.choice("pqrstuvwxyz")]
+        pairs.append(("".join(a), "".join(b)))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    bits = [F.bit_count(linededup.sketch(F.col("a"), n).bitwiseXOR(linededup.sketch(F.col("b"), n))).alias(f"n{n}") for n in (1, 2)]
+    got = df.select(*bits).collect()
+    assert max(r.n1 for r in got) == 4 and 6 <= max(r.n2 for r in got) <= 8
+
+
+def test_clashing_column_names(spark):
+    docs = spark.createDataFrame([(1, "the same line is in both texts\nfirst", 9, [1], "a"), (2, "the same line is in both texts\nsecond", 8, [2], "b")], "doc_id long, text string, lost_id int, LOST_LINES array<int>, text_now string")
+    out = linededup.dedup_lines(docs)
+    assert out.columns == docs.columns and {tuple(r)[:3] for r in out.collect()} == {(1, "the same line is in both texts\nfirst", 9), (2, "second", 8)}
