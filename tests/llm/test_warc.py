@@ -53,6 +53,18 @@ def test_records_at_one_place_are_all_kept(spark):
     assert [r.status for r in warc.audit(a, b).collect()] == ["lost"]
 
 
+def test_crowded_ids_and_clashing_columns(spark):
+    rows = [(5, f"u{i}", "x" * (i % 7), 1, "d", i) for i in range(9000)] + [(6, "u", "same", 1, "d", 1)] * 30
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, volume int, digest string, offset long")
+    got = warc.records(pages).collect()
+    assert len(got) == 9030 and {r.volume for r in got} == {0, 1, 2} and len({(r.volume, r.offset) for r in got}) == 9030
+    for v in range(3):  # without gaps
+        own = sorted((r.offset, r.length) for r in got if r.volume == v)
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:]))
+    told = warc.query(pages).groupBy("status").count().collect()
+    assert {r.status: r["count"] for r in told} == {"ok": 9030}
+
+
 def test_odd_pages(spark):
     pages = spark.createDataFrame([(1, None, None), (None, "u", "<p>é</p>"), (2, "", ""), (None, None, None), (3, "u", "x" * 300_000), (3, "u", "x" * 300_000)], "page_id long, url string, html string")
     rows = warc.records(pages)
