@@ -6,8 +6,12 @@ of the documents meet those of the benchmark in an equi-join; around each hit th
 diagonal of the hit, and a benchmark item is reported when some `window` consecutive tokens of it (all of them, if it
 has fewer) agree with the document in at least `agree` of the places.
 
-Items of fewer tokens than a mask's span have no seed; each such length n has a mask of its own, of n tokens, so that
-they are found where they stand exactly.
+The masks are complete: wherever the substitutions are that `agree` allows, in an item of whatever length, one of them
+selects unchanged tokens only, so that every such overlap is found. Items of fewer than `FEW` tokens have masks of less
+weight, which documents are read with only if there are such items. Other windows and shares are refused if the masks
+don't cover them.
+
+The first pass over the documents keeps of each seed but its place; only documents with hits are read again.
 
 Defined cases: null, empty and token-free texts match nothing; repeated rows of a document or an item give one result
 row; documents or items with a null id take part under it; empty tables give an empty result; of equal matches of a pair
@@ -16,18 +20,32 @@ the first in the document is reported; other columns are not read.
 
 from __future__ import annotations
 
-from functools import reduce
+import math
+from functools import cache
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.llm.common import drop_rows, let, stash, text_key
+from tamiz.llm.common import drop_rows, let, maybe_broadcast, stash, text_key
+
+#: Offsets that the masks select, for items of FEW tokens and more, for shorter ones, for two tokens and for one.
+MASKS = ((0, 2, 3, 9), (0, 3, 5, 7))
+SHORT = ((0, 1, 2), (0, 1, 3))
+PAIR, ONE = ((0, 1),), ((0,),)
+FEW = 10
+
+
+def masks_of(n: int) -> tuple[tuple[int, ...], ...]:
+    """The masks of an item of n tokens."""
+    return MASKS if n >= FEW else SHORT if n > 2 else PAIR if n == 2 else ONE
 
-#: Offsets that the masks select, of ten positions.
-MASKS = ((0, 2, 3, 7), (0, 1, 5, 9))
-SPAN = 10
-#: Benchmark seeds up to which they are broadcast, 24 bytes and the item's tokens each; beyond, both sides shuffle.
-SEED_ROWS = 300_000
+
+@cache
+def complete(width: int, changes: int) -> bool:
+    """Whether any so many substitutions in `width` tokens leave a mask at some position unchanged."""
+    places = [{o + i for i in m} for m in masks_of(width) for o in range(width - m[-1])]
+    return all(any(not x.intersection(some) for x in places) for some in combinations(range(width), changes))
 
 
 def tokens(text: Column) -> Column:
@@ -35,12 +53,23 @@ def tokens(text: Column) -> Column:
     return F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != ""), lambda t: F.xxhash64(t))
 
 
-def seeds(h: Column, offsets: tuple[int, ...], span: int, mask: int) -> Column:
-    """The hash of the selected tokens at each position of h where the whole span fits."""
-    at = lambda i: F.xxhash64(*[F.get(h, i + o) for o in offsets], F.lit(mask))
+def seeds(h: Column, offsets: tuple[int, ...]) -> Column:
+    """The hash of the selected tokens at each position of h where the whole mask fits."""
+    span = offsets[-1] + 1
+    at = lambda i: F.xxhash64(*[F.get(h, i + o) for o in offsets], F.lit("-".join(map(str, offsets))))
     return F.when(F.size(h) >= span, F.transform(F.sequence(F.lit(0), F.size(h) - span), at)).otherwise(F.array().cast("array<bigint>"))
 
 
+def placed(p: Column, n: Column, masks: list[tuple[int, ...]]) -> Column:
+    """The position that a place in the joined lists of the masks' seeds stands for, in a text of n tokens."""
+    out, before = F.lit(None).cast("int"), F.lit(0)
+    for m in masks:
+        own = F.greatest(n - m[-1], F.lit(0))
+        out = F.coalesce(out, F.when(p < before + own, p - before))
+        before = before + own
+    return out
+
+
 def agreement(item: Column, doc: Column, window: int) -> Column:
     """Struct (best, width, at): the most agreeing places of any `width` consecutive item tokens, and the first such
     window; doc holds the tokens that lie along the item, null where the document doesn't reach."""
@@ -57,53 +86,48 @@ def agreement(item: Column, doc: Column, window: int) -> Column:
     return let(F.zip_with(item, doc, lambda x, y: F.coalesce((x == y).cast("int"), F.lit(0))), totals)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = 16, agree: float = 0.8, seed_rows: int = SEED_ROWS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = 16, agree: float = 0.8) -> DataFrame:
     """(doc_id, th, item_id, matched, width, start, item_start): verified overlaps, the best of each document row and item."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("item")).where(F.size("item") > 0)
-    items = stash(items, "items")
-    short = sorted(r[0] for r in items.select(F.size("item").alias("n")).where(f"n < {SPAN}").distinct().collect())  # below SPAN, so few
-    masks = [(k, m, SPAN) for k, m in enumerate(MASKS)] + [(100 + n, tuple(range(n)), n) for n in short]
-
-    def listed(rows: DataFrame, h: str, own: Column | None = None) -> DataFrame:
-        """rows with a row for each seed: its position and hash. own: where it holds, only masks of the row's length."""
-        parts = []
-        for k, offsets, span in masks:
-            s = seeds(F.col(h), offsets, span, k)
-            parts.append(s if k < 100 or own is None else F.when(F.size(h) == span, s).otherwise(F.array().cast("array<bigint>")))
-        # A position is told from a hash's place in the joined list of all masks.
-        sizes = [F.greatest(F.size(h) - (span - 1), F.lit(0)) for _, _, span in masks]
-        rows = rows.select("*", F.posexplode(F.concat(*parts)).alias("p", "seed"))
-        if own is not None:
-            return rows
-        pos, before = F.lit(None).cast("int"), F.lit(0)
-        for n in sizes:
-            pos = F.coalesce(pos, F.when(F.col("p") < before + n, F.col("p") - before))
-            before = before + n
-        return rows.withColumn("p", pos)
-
-    # An item's own seeds: those of the common masks, and for a short item that of its own length.
-    n = F.greatest(F.size("item") - (SPAN - 1), F.lit(0))
-    wanted = listed(items, "item", F.lit(True)).withColumn("r", F.when(F.size("item") < SPAN, 0).otherwise(F.col("p") % n)).select("seed", "item_id", "item", "r")
-    wanted = stash(wanted, "seeds")
-    count = wanted.count()
-
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("th"), tokens(F.col("text")).alias("h"))
-    if count <= seed_rows:
-        hits = listed(kept, "h").join(F.broadcast(wanted), "seed")
-    else:
-        kept = stash(kept.distinct(), "tokens")
-        pairs = listed(kept, "h").select("doc_id", "th", "seed", "p").join(wanted.drop("item"), "seed")
-        pairs = pairs.groupBy("doc_id", "th", "item_id", (F.col("p") - F.col("r")).alias("p")).agg(F.lit(0).alias("r"))
-        d = kept.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "h")
-        i = items.distinct().select(F.col("item_id").alias("i"), "item")
-        hits = pairs.join(d, (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d"))).join(i, F.col("item_id").eqNullSafe(F.col("i")))
-    start = F.col("p") - F.col("r")  # of the item in the document; below 0 if the document begins within the item
-    along = F.concat(
-        F.when(start < 0, F.array_repeat(F.lit(None).cast("long"), -start)).otherwise(F.array().cast("array<bigint>")),
-        F.slice(F.col("h"), F.greatest(start, F.lit(0)) + 1, F.size("item") + F.least(start, F.lit(0))),
-    )
-    # Each diagonal once; what is verified is written before the filter, into which the optimizer would put it again.
-    found = hits.select("doc_id", "th", "item_id", start.alias("diag"), "item", along.alias("along")).distinct()
+    for width in range(1, window + 1):
+        if not complete(width, width - math.ceil(width * agree)):
+            raise ValueError(f"the masks don't cover {agree} of {width} tokens")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("item")).where(F.size("item") > 0).distinct()
+    items = stash(items.withColumn("ik", F.xxhash64("item_id", "item")), "items")
+    n = F.size("item")
+    kinds = {"long": (MASKS, n >= FEW), "short": (SHORT, (n > 2) & (n < FEW)), "pair": (PAIR, n == 2), "one": (ONE, n == 1)}
+    there = items.agg(*[F.coalesce(F.max(c), F.lit(False)).alias(k) for k, (_, c) in kinds.items()], F.coalesce(F.sum(n), F.lit(0)).alias("all"), F.count("*").alias("rows")).first()
+    kinds = {k: x for k, x in kinds.items() if there[k]}
+    masks = [m for own, _ in kinds.values() for m in own]
+
+    wanted = None
+    for own, mine in kinds.values():
+        each = items.where(mine).select("ik", n.alias("n"), F.posexplode(F.concat(*[seeds(F.col("item"), m) for m in own])).alias("p", "seed"))
+        each = each.select("seed", "ik", "n", placed(F.col("p"), F.col("n"), list(own)).alias("r"))
+        wanted = each if wanted is None else wanted.unionByName(each)
+    if wanted is None:
+        wanted, masks = items.select(F.lit(0).cast("long").alias("seed"), "ik", F.lit(0).alias("n"), F.lit(0).alias("r")), [(0,)]
+    wanted = stash(wanted.distinct(), "seeds")
+
+    # h is named once: each seed's row holds but the document's keys and the place.
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("th"), "text")
+    listed = let(tokens(F.col("text")), lambda h: F.struct(F.size(h).alias("m"), F.concat(*[seeds(h, m) for m in masks]).alias("s")))
+    listed = keyed.select("doc_id", "th", listed.alias("x")).select("doc_id", "th", "x.m", F.posexplode("x.s").alias("p", "seed"))
+    hits = listed.join(maybe_broadcast(wanted, wanted.count(), 40), "seed")
+    hits = hits.select("doc_id", "th", "ik", "n", (placed(F.col("p"), F.col("m"), masks) - F.col("r")).alias("diag")).distinct()
+    # A document's hits together, so that its tokens are made once.
+    own = stash(hits.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_list(F.struct("ik", "n", "diag")).alias("hits")), "hits")
+    rows, every = own.agg(F.count("*"), F.coalesce(F.sum(F.size("hits")), F.lit(0))).first()
+    both = keyed.join(maybe_broadcast(own, rows, 40 + 24 * every // max(1, rows)), keyed["doc_id"].eqNullSafe(own["d"]) & (keyed["th"] == own["t"]))
+
+    def along(h: Column, x: Column) -> Column:
+        """The document's tokens along an item; null before it begins. diag is the item's start, below 0 if that is outside."""
+        head = F.array_repeat(F.lit(None).cast("long"), F.greatest(F.lit(0), -x["diag"]))
+        return F.concat(head, F.slice(h, F.greatest(x["diag"], F.lit(0)) + 1, x["n"] + F.least(x["diag"], F.lit(0))))
+
+    laid = let(tokens(F.col("text")), lambda h: F.transform("hits", lambda x: F.struct(x["ik"].alias("ik"), x["diag"].alias("diag"), along(h, x).alias("along"))))
+    laid = both.select("doc_id", "th", F.explode(laid).alias("x")).select("doc_id", "th", "x.*")
+    found = laid.join(maybe_broadcast(items, there["rows"], 64 + 8 * there["all"] // max(1, there["rows"])), "ik")
+    # Verified before the filter and written, as the optimizer would put it in the filter again.
     found = found.select("doc_id", "th", "item_id", "diag", agreement(F.col("item"), F.col("along"), window).alias("m"))
     found = stash(found, "verified").where(F.col("m.best") >= F.ceil(F.col("m.width") * agree))
     best = F.max(F.struct(F.col("m.best").alias("matched"), (-(F.col("diag") + F.col("m.at"))).alias("neg"), F.col("m.width").alias("width"), F.col("m.at").alias("item_start")))
