@@ -1,12 +1,16 @@
 """Mixing sources to target weights (operator 8), DataFrame functions only.
 
 The words of each source are packed, document after document in a pseudorandom order, into blocks of `block` words (the
-last is shorter). Source s has a target; as many slots of the mix as hold it are its own, and all slots are dealt to output
-shards of `shard` slots by a keyed pseudorandom order of all slots, so that the source counts of the shards are
-multinomial draws, given that each source meets its target over all shards. The slots of a source pass over its blocks,
-a pass in the order of a keyed permutation of the block indexes (multiplication by a prime and an offset, modulo the
-number of full blocks; the short block ends a pass): every block is used before any is used again. Blocks and slots meet
-in an equi-join on (source, block index).
+last is shorter). Source s has a target; as many slots of the mix as hold it are its own. A keyed pseudorandom permutation
+of all slots deals them to output shards of `shard` slots, which draws each shard's source counts: those of multinomial
+draws, given that every source meets its target over all shards. (Independent draws would miss a small source's target by
+several per cent.) The slots of a source pass over its blocks, a pass in the order of a keyed permutation of the block
+indexes (the short block ends a pass): every block is used before any is used again. Blocks and slots meet in an equi-join
+on (source, block index); what is taken of a document is the sum of what the shards' slots take.
+
+The permutations are swap-or-not shuffles (Hoang, Morris, Rogaway 2012): in each round an index x and its mirror k - x, for
+the round's key k, change places or not, by a hash of the larger one. They need no table, hold for any number of indexes,
+and no step leaves 64 bits.
 
 No place is beyond three uses, as a target is at most three times the source's size, which is three whole passes. The
 last slot of a source takes only what the target still lacks.
@@ -24,11 +28,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamiz.llm.common import maybe_broadcast, stash, text_key
+from tamiz.llm.common import let, maybe_broadcast, stash, text_key
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Prime multipliers for the permutations, each larger than any number of blocks of a source may be.
-PRIMES = (2654435761, 2246822519, 3266489917, 3182179229)
+#: Rounds of the permutations.
+ROUNDS = 24
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -66,7 +70,7 @@ def packed(docs: DataFrame, block: int, bucket_rows: int, seed: int) -> tuple[Da
     slots = passes * cells + F.ceil((F.ceil("target") - passes * F.col("source_size")) / block)
     sources = stash(sources.withColumn("blocks", cells).withColumn("slots", slots).withColumn("buckets", F.ceil(F.col("n") / bucket_rows)).drop("n"), "sources")
 
-    known = maybe_broadcast(sources.select(F.col("source").alias("s"), "k", "buckets", "source_size", "target"), sources.count(), 100_000)
+    known = maybe_broadcast(sources.select(F.col("source").alias("s"), "k", "buckets", "source_size", "target"), sources.count(), 128)
     rows = rows.join(known, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rows = rows.withColumn("o", F.xxhash64("doc_id", "th", F.lit(seed))).withColumn("bucket", F.pmod(F.xxhash64("o", F.lit(1)), "buckets"))
     within = Window.partitionBy("k", "bucket")
@@ -82,8 +86,13 @@ def packed(docs: DataFrame, block: int, bucket_rows: int, seed: int) -> tuple[Da
 
 def permuted(j: Column, n: Column, k: Column, seed: int) -> Column:
     """Index j below n under the permutation of source k."""
-    prime = F.get(F.array(*[F.lit(p) for p in PRIMES]), F.pmod(F.xxhash64(k, F.lit(seed)), F.lit(len(PRIMES))).cast("int"))
-    return F.pmod(F.pmod(j * F.pmod(prime, n), n) + F.pmod(F.xxhash64(k, F.lit(seed + 1)), n), n)
+
+    def turn(x: Column, i: Column) -> Column:
+        mirror = F.pmod(F.pmod(F.xxhash64(k, i, F.lit(seed)), n) - x, n)
+        swap = lambda m: F.when(F.xxhash64(k, i, F.greatest(x, m), F.lit(seed + 1)).bitwiseAND(F.lit(1)) == 1, m).otherwise(x)
+        return let(mirror, swap)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), j.cast("long"), turn)
 
 
 def draw(sources: DataFrame, block: int, shard: int, seed: int) -> DataFrame:
@@ -96,9 +105,9 @@ def draw(sources: DataFrame, block: int, shard: int, seed: int) -> DataFrame:
     every = sources.agg(F.sum("slots")).first()[0] or 0
     runs = runs.repartition(max(sources.sparkSession.sparkContext.defaultParallelism, every // 1_000_000), "k", "run")
     j = runs.withColumn("j", F.explode(F.sequence(F.col("run") * 4096, F.least(F.col("run") * 4096 + 4095, F.col("slots") - 1))))
-    at = permuted(F.col("first") + F.col("j"), F.col("every"), F.lit(-1), seed)
+    at = permuted(F.col("first") + F.col("j"), F.col("every"), F.lit(-1).cast("long"), seed)
     full, inner = F.floor(F.col("source_size") / block), F.pmod("j", "blocks")
-    index = F.when(inner < full, permuted(inner, F.greatest(full, F.lit(1)), F.col("k"), seed + 2)).otherwise(full)
+    index = F.when(inner < full, permuted(inner, F.greatest(full, F.lit(1)), F.col("k").cast("long"), seed + 2)).otherwise(full)
     width = F.when(inner < full, F.lit(block)).otherwise(F.col("source_size") - full * block)
     rest = F.ceil("target") - F.floor(F.col("j") / F.col("blocks")) * F.col("source_size") - inner * block
     return j.select(F.floor(at / shard).alias("shard"), F.pmod(at, F.lit(shard)).alias("slot"), "k", index.alias("block"), F.least(width, rest).cast("long").alias("words"))
@@ -121,30 +130,40 @@ def pieces(rows: DataFrame, slots: DataFrame, block: int) -> DataFrame:
 
 
 def mixed_texts(docs: DataFrame, block: int = 64, shard: int = 4096, seed: int = 11) -> DataFrame:
-    """(shard, slot, part, doc_id, words): the mix itself, the words of each slot's pieces joined by spaces."""
+    """(shard, slot, start, doc_id, source, words): the mix itself, each slot's pieces, the words of a piece joined by spaces.
+
+    A slot's pieces stand in the order of start. A text is cut into the pieces of its blocks once, and only these meet slots.
+    """
     rows, sources = packed(docs, block, 2000, seed)
-    cut = pieces(rows, draw(sources, block, shard, seed), block)
-    words = docs.select(F.col("doc_id").cast("long").alias("d"), text_key().alias("t"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("all")).dropDuplicates(["d", "t"])
-    out = cut.join(words, cut["doc_id"].eqNullSafe(words["d"]) & (cut["th"] == words["t"]))
-    return out.select("shard", "slot", "start", "doc_id", F.array_join(F.slice("all", (F.col("word") + 1).cast("int"), F.col("words").cast("int")), " ").alias("words"))
+    slots = draw(sources, block, shard, seed)
+    texts = docs.select(F.col("doc_id").cast("long").alias("d"), text_key().alias("t"), "text").where(F.col("text").rlike(WORD)).dropDuplicates(["d", "t"])
+    own = rows.where("size > 0").join(texts, rows["doc_id"].eqNullSafe(texts["d"]) & (rows["th"] == texts["t"]))
+    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
+
+    def cut(words: Column) -> Column:
+        """A piece for each block that the text reaches: the block, its place in it, and the words."""
+        low = lambda b: F.greatest(F.lit(0).cast("long"), b * block - F.col("start"))
+        high = lambda b: F.least(F.col("size"), (b + 1) * block - F.col("start"))
+        piece = lambda b: F.struct(b.alias("block"), F.slice(words, (low(b) + 1).cast("int"), (high(b) - low(b)).cast("int")).alias("piece"), (F.col("start") + low(b) - b * block).alias("head"))
+        return F.transform(F.sequence(first, last), piece)
+
+    words = let(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), cut)
+    each = own.select("k", "doc_id", "source", "start", F.explode(words).alias("x")).select("k", "doc_id", "source", "start", "x.*")
+    both = each.join(slots.hint("merge"), ["k", "block"])
+    taken = F.least(F.size("piece").cast("long"), F.col("words") - F.col("head")).cast("int")
+    return both.where(taken > 0).select("shard", "slot", "start", "doc_id", "source", F.array_join(F.slice("piece", F.lit(1), taken), " ").alias("words"))
 
 
 def mix(docs: DataFrame, block: int = 64, shard: int = 4096, seed: int = 11) -> DataFrame:
-    """(doc_id, source, th, size, source_size, target, taken) of every row: the words that the mix takes of it."""
+    """(doc_id, source, th, size, source_size, target, taken, first_shard) of every row: the words that the shards' slots take
+    of it, and the first shard that has some."""
     rows, sources = packed(docs, block, 2000, seed)
-    uses = draw(sources, block, shard, seed).groupBy("k", "block", "words").agg(F.count("*").alias("n"))
-    last = F.floor((F.col("start") + F.col("size") - 1) / block)
-    cut = rows.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), last)))
-    cut = cut.select("k", "block", "start", "size")
-    both = cut.join(uses.hint("merge"), ["k", "block"])  # uses grow with the input, which the planner doesn't see
-    low = F.greatest("start", F.col("block") * block)
-    high = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("words"))
-    taken = both.groupBy("k", "start").agg(F.sum(F.greatest(high - low, F.lit(0)) * F.col("n")).alias("got"))
-    taken = taken.select(F.col("k").alias("k2"), F.col("start").alias("s2"), "got")
+    taken = pieces(rows, draw(sources, block, shard, seed), block).groupBy("k", "start").agg(F.sum("words").alias("got"), F.min("shard").alias("first_shard"))
+    taken = taken.select(F.col("k").alias("k2"), F.col("start").alias("s2"), "got", "first_shard")
     out = rows.join(taken, (F.col("k") == F.col("k2")) & (F.col("start") == F.col("s2")) & (F.col("size") > 0), "left")
-    return out.select("doc_id", "source", "th", "size", "source_size", "target", F.coalesce("got", F.lit(0)).alias("taken"))
+    return out.select("doc_id", "source", "th", "size", "source_size", "target", F.coalesce("got", F.lit(0)).alias("taken"), "first_shard")
 
 
 def query(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document, by the contract of operator 8."""
-    return mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken", "first_shard")

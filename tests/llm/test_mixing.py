@@ -71,10 +71,36 @@ def test_plan_has_no_python(documents):
 
 
 def test_permutations_are_bijections(spark):
-    assert all(p % d for p in mixing.PRIMES for d in range(2, int(p**0.5) + 1))
-    # Multipliers are chosen by a hash of k: each of the four is among 40 of them.
-    for n in (53, 457, 1060):
+    for n in (1, 2, 53, 1060):
         at = mixing.permuted(F.col("id"), F.lit(n), F.col("k"), 11)
-        rows = spark.range(n).crossJoin(spark.range(40).withColumnRenamed("id", "k")).select("k", at.alias("at"))
+        rows = spark.range(n).crossJoin(spark.range(20).withColumnRenamed("id", "k")).select("k", at.alias("at"))
         seen = rows.groupBy("k").agg(F.countDistinct("at").alias("n"), F.min("at").alias("a"), F.max("at").alias("z")).collect()
         assert {(r.n, r.a, r.z) for r in seen} == {(n, 0, n - 1)}
+
+
+def test_permutation_of_more_than_32_bits(spark):
+    n = 5 * 10**12
+    at = [r.at for r in spark.range(0, n, n // 5000).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(3), 11).alias("at")).collect()]
+    assert len(set(at)) == len(at) and 0 <= min(at) and max(at) < n
+    assert abs(sum(at) / len(at) - n / 2) < 0.03 * n and sum(a < b for a, b in zip(at, at[1:])) < 0.55 * len(at)
+
+
+def test_shard_counts_vary_as_draws_do(spark):
+    """A source of 30 % of the slots: its counts for each shard have the mean and the spread of draws without replacement."""
+    sources = spark.createDataFrame([(0, 64 * 6000, 64 * 6000.0, 6000, 6000), (1, 64 * 14000, 64 * 14000.0, 14000, 14000)], "k int, source_size long, target double, blocks long, slots long")
+    for seed in (11, 12, 13):
+        n = [r.n for r in mixing.shard_counts(mixing.draw(sources, 64, 200, seed)).where("k = 0").collect()]
+        assert len(n) == 100 and sum(n) == 6000
+        spread = (sum((x - 60) ** 2 for x in n) / 100) ** 0.5
+        assert 4.5 < spread < 8.5  # expected: 6.5
+
+
+def test_taken_is_what_the_shards_hold(documents, odd):
+    for docs in (documents, odd):
+        held = defaultdict(int)
+        for r in mixing.mixed_texts(docs, shard=256).collect():
+            held[r.doc_id] += len(r.words.split())
+        want = defaultdict(int)
+        for r in mixing.mix(docs, shard=256).collect():
+            want[r.doc_id] += r.taken
+        assert held == {d: n for d, n in want.items() if n}
