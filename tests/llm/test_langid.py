@@ -40,3 +40,19 @@ def test_odd_and_empty(odd, empty, documents):
     kept = langid.accepted(odd)
     assert kept.columns == odd.columns and kept.count() == odd.count() - 4
     assert langid.query(empty).count() == langid.accepted(empty).count() == 0
+
+
+def test_only_letters_count(spark):
+    model = langid.train(spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate([("the house of the", "en"), ("la casa del el", "es")] * 5)], "doc_id long, text string, lang string"))
+    df = spark.createDataFrame(enumerate(["½ ²", "Ⅷ 12", "½a", "ª", "the house½"]), "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.predict(df, model).collect()}
+    assert [got[i].lang_pred == langid.UND for i in range(5)] == [True, True, False, False, False]
+    assert [got[i].letters for i in range(5)] == [False, False, True, True, True] and got[0].score == 0
+
+
+def test_the_stage_rejects_by_score_and_keeps_all_if_nothing_was_learned(spark, documents, make):
+    low = {(r.doc_id, r.score < 0.95) for r in langid.query(documents).collect()}
+    kept = {r.doc_id for r in langid.accepted(documents, 0.95).collect()}
+    assert kept == {d for d, x in low if not x} and 0 < len(kept) < len(low)
+    bare = make([(i, f"plain english words number {i}") for i in range(6)] + [(9, "...")], lang=None)
+    assert {r.doc_id for r in langid.accepted(bare).collect()} == set(range(6))
