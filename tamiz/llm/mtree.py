@@ -8,24 +8,30 @@ pages: an inner page has routing vectors, their covering radii and their distanc
 leaf has vectors and these distances.
 
 A query goes to the trees of its nearest pivot first, which gives it a bound, the distance of its k-th best; then only to
-those trees whose pivot and radius may hold something as near. Within a tree the page of the least possible distance is
+those trees whose ring around their pivot, from the least to the largest distance of their vectors, may hold something as
+near. Within a tree the page of the least possible distance is
 read next, until that is beyond the bound; entries whose stored distance to the page's routing vector already puts them
 beyond the bound, by the triangle inequality, are skipped without computing theirs. Bounds are held off by a margin for
 rounding; scores are computed in whole numbers.
 
 Pivots come from at most `sample` vectors, those of the smallest hashes; every vector is in a tree. Queries are joined to
-trees in blocks of `block`.
+trees in blocks of `block`. Vectors without clusters, or of many even dimensions, leave the bounds nothing to rule out: then
+every query reads every tree, and the work is that of comparing the queries with all rows.
 
-Defined cases: vectors that are null or hold null, NaN or infinite components take no part; empty ones do; vectors meet
-only those of their own length; components are clipped to 2^25 on either side; rows of the same id and vector are one
-row, of different vectors of an id the least is its query, and a query meets no row of its own id; a null id is no query, and comes last among ties; an empty table gives an
-empty result; other columns are not read.
+Components stay doubles that hold whole numbers. Where no dot product can leave 53 bits, sums of doubles are exact; else
+what the bounds leave is summed in whole numbers of any size. Scores beyond a long are given as the nearest long.
+
+Defined cases: vectors that are null or hold null, NaN or infinite components, or such that are infinite 256 times, take no
+part; empty ones do; vectors meet only those of their own length; rows of the same id and vector are one row, of different
+vectors of an id the least is its query, and a query meets no row of its own id; a null id is no query, and comes last among
+ties; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from decimal import Decimal
 from typing import Any
 
 import numpy as np
@@ -34,22 +40,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamiz.llm.common import first_by_hash, stash
+from tamiz.llm.common import first_by_hash, maybe_broadcast, stash
 
 LAST = 2**63 - 1
 #: A page of a tree: children holds the inner page's pages, ids the leaf's vectors; near are the distances to the page's
 #: own routing vector, radii the covering radii, vectors the entries' components in one list.
-PAGE = "struct<children: array<int>, ids: array<bigint>, vectors: array<int>, near: array<double>, radii: array<double>>"
-_PAGE = pa.struct([("children", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64())), ("vectors", pa.list_(pa.int32())), ("near", pa.list_(pa.float64())), ("radii", pa.list_(pa.float64()))])
+PAGE = "struct<children: array<int>, ids: array<bigint>, vectors: array<double>, near: array<double>, radii: array<double>>"
+#: Products below are exact in doubles.
+EXACT = 2.0**53
+#: Scores on the way, and the largest that are told apart.
+SCORE, LARGEST = pa.decimal128(38, 0), 10**38 - 1
 
 
 def whole(rows: DataFrame) -> DataFrame:
     """(vec_id, v, n2, dim) of rows(vec_id, embedding): components as whole numbers, the squared length and the length."""
-    big = float(2**25)
-    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    v = F.transform("embedding", lambda x: F.greatest(F.lit(-big), F.least(F.lit(big), F.floor(x.cast("double") * 256).cast("double"))).cast("int"))
+    x256 = lambda x: x.cast("double") * 256
+    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x256(x)) & (F.abs(x256(x)) < float("inf")))
+    # Beyond 53 bits a double is whole, and floor() would make it a long.
+    v = F.transform("embedding", lambda x: F.when(F.abs(x256(x)) < EXACT, F.floor(x256(x)).cast("double")).otherwise(x256(x)))
     rows = rows.where(F.col("embedding").isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).distinct()
-    return rows.select("vec_id", "v", F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x.cast("long") * x.cast("long")).alias("n2"), F.size("v").alias("dim"))
+    return rows.select("vec_id", "v", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x).alias("n2"), F.size("v").alias("dim"))
 
 
 def lifted(v: np.ndarray, n2: np.ndarray, most: float) -> np.ndarray:
@@ -114,21 +124,24 @@ class Tree:
         for p in pages:
             near = np.asarray(p["near"], dtype=np.float64)
             v = np.asarray(p["vectors"], dtype=np.float64).reshape(len(near), dim)
-            n2 = np.einsum("ij,ij->i", v, v)
-            self.pages.append((np.asarray(p["children"], dtype=np.int64), np.asarray(p["ids"], dtype=np.int64), v, n2, near, np.asarray(p["radii"], dtype=np.float64)))
+            self.pages.append((np.asarray(p["children"], dtype=np.int64), np.asarray(p["ids"], dtype=np.int64), v, near, np.asarray(p["radii"], dtype=np.float64)))
         self.computed = self.entries = 0
 
     def search(self, own: int, q: np.ndarray, to_root: float, k: int, bound: float) -> list[tuple[int, int]]:
         """Up to k (score, id) of the best; none of those beyond the bound need be there. to_root: distance to the root's vector."""
         q2 = float(q @ q)
-        base, margin = q2 + self.most, 1e-9 * (1 + q2 + self.most) ** 0.5
-        best: list[tuple[float, int]] = []  # a heap of (score, -id), the worst first
+        base = q2 + self.most
+        exact = (q2 * self.most) ** 0.5 < EXACT
+        margin = (1e-9 if exact else 1e-6) * (1 + base) ** 0.5
+        off = 0.0 if exact else 2.0**-50 * (len(q) + 1) * (q2 * self.most) ** 0.5  # of a dot product in doubles
+        whole = [] if exact else [int(x) for x in q]
+        best: list[tuple[int, int]] = []  # a heap of (score, -id), the worst first
         heap = [(0.0, 0, to_root)]
         while heap:
             least, page, d = heapq.heappop(heap)
             if least > bound + margin:
                 break
-            children, ids, v, n2, near, radii = self.pages[page]
+            children, ids, v, near, radii = self.pages[page]
             self.entries += len(near)
             low = np.abs(d - near)
             if len(children):
@@ -144,11 +157,11 @@ class Tree:
                 for i in np.flatnonzero(low <= bound + margin):
                     heapq.heappush(heap, (max(0.0, float(low[i])), int(children[some[i]]), float(far[i])))
                 continue
-            mine = ids[some]
             if len(best) == k:
-                keep = dots >= best[0][0]
-                dots, mine = dots[keep], mine[keep]
-            for s, i in zip(dots.tolist(), mine.tolist(), strict=True):
+                keep = dots + off >= best[0][0]
+                dots, some = dots[keep], some[keep]
+            scores = map(int, dots.tolist()) if exact else (sum(int(a) * b for a, b in zip(v[i], whole, strict=True)) for i in some)
+            for s, i in zip(scores, ids[some].tolist(), strict=True):
                 if i == own:
                     continue
                 if len(best) < k:
@@ -157,7 +170,7 @@ class Tree:
                     heapq.heapreplace(best, (s, -i))
             if len(best) == k:
                 bound = min(bound, max(0.0, base - 2 * best[0][0]) ** 0.5)
-        return [(int(s), -i) for s, i in best]
+        return [(s, -i) for s, i in best]
 
 
 def choose_pivots(rows: DataFrame, most: float, count: int, sample: int, each: int, limit: int) -> dict[int, np.ndarray]:
@@ -173,7 +186,7 @@ def choose_pivots(rows: DataFrame, most: float, count: int, sample: int, each: i
     return pivots
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, tree_rows: int = 4096, sample: int = 2048, pivots: int = 128, block: int = 512) -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, tree_rows: int = 4096, sample: int = 2048, pivots: int = 128, block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of each of queries(vec_id, v, n2, dim) with rows of
     the same columns, ties to the smaller vec_id; not with those of the query's own id."""
     spark = rows.sparkSession
@@ -192,45 +205,38 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, tree_rows: int = 4096
                 pivot[part.index], far[part.index] = d.argmin(0), d.min(0)
             yield pa.record_batch([*(batch.column(c) for c in ("vec_id", "v", "n2", "dim")), pa.array(pivot), pa.array(far)], names=["vec_id", "v", "n2", "dim", "pivot", "far"])
 
-    dealt = stash(rows.mapInArrow(deal, "vec_id long, v array<int>, n2 long, dim int, pivot int, far double"), "dealt")
-    groups = dealt.groupBy("dim", "pivot").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
-    groups = stash(groups.withColumn("parts", F.ceil(F.col("n") / tree_rows).cast("int")), "groups")
-    known = {(r.dim, r.pivot): (r.radius, r.parts) for r in groups.where(F.col("dim").isin(list(centers) or [-1])).collect()}  # a row for each pivot
+    dealt = stash(rows.mapInArrow(deal, "vec_id long, v array<double>, n2 double, dim int, pivot int, far double"), "dealt")
+    groups = dealt.groupBy("dim", "pivot").agg(F.count("*").alias("n"))
+    groups = stash(groups.select("dim", "pivot", F.ceil(F.col("n") / tree_rows).cast("int").alias("parts")), "groups")
+    sized = dealt.join(maybe_broadcast(groups, groups.count(), 24), ["dim", "pivot"])
+    sized = stash(sized.withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), "parts").cast("int")).drop("parts"), "sized")
+    # A tree's vectors are between these distances of its pivot.
+    rings = stash(sized.groupBy("dim", "pivot", "part").agg(F.min("far").alias("low"), F.max("far").alias("high")), "rings")
 
     def grow(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         dim, pivot, part = (int(x) for x in key)
         ids = df["vec_id"].astype("Int64").fillna(LAST).to_numpy(dtype=np.int64)
-        v = np.array(df["v"].tolist(), dtype=np.int64).reshape(len(df), dim)
+        v = np.array(df["v"].tolist(), dtype=np.float64).reshape(len(df), dim)
         order = np.argsort(ids, kind="stable")
         center = held.value.get(dim, np.zeros((1, dim + 1)))[pivot]
         pages = build(ids[order], v[order], lifted(v, df["n2"].to_numpy(), most)[order], center)
         return pd.DataFrame({"dim": [dim], "pivot": [pivot], "part": [part], "pages": [pages]})
 
-    sized = dealt.join(F.broadcast(groups.select("dim", "pivot", "parts")) if groups.count() <= 100_000 else groups.select("dim", "pivot", "parts"), ["dim", "pivot"])
-    sized = sized.withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), "parts").cast("int"))
     trees = stash(sized.groupBy("dim", "pivot", "part").applyInPandas(grow, f"dim int, pivot int, part int, pages array<{PAGE}>"), "trees")
+    reach = rings.groupBy("dim", "pivot").agg(F.collect_list(F.struct("part", "low", "high")).alias("rings"))
 
-    def route(first: bool):
-        """Queries to the trees of their nearest pivot, or to those of the others that their bound doesn't rule out."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = []
-                for r in batch.to_pylist():
-                    dim = r["dim"]
-                    q = np.append(np.asarray(r["v"], dtype=np.float64), 0.0)
-                    d = distances(held.value.get(dim, np.zeros((1, dim + 1))), q)
-                    reach = [max(0.0, float(x) - known.get((dim, i), (np.inf, 1))[0]) for i, x in enumerate(d)]
-                    nearest = min(range(len(d)), key=lambda i: (reach[i], d[i]))
-                    bound = float("inf") if r["bound"] is None else r["bound"]
-                    for i, x in enumerate(d):
-                        if (i == nearest) == first and (first or reach[i] <= bound + 1e-6 * (1 + bound)):
-                            out.append((r["vec_id"], r["v"], dim, i, float(x), bound))
-                cols = list(zip(*out, strict=True)) or [()] * 6
-                types = [pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["q", "qv", "dim", "pivot", "to_root", "bound"])
-
-        return run
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each query and pivot of its length, with the distance."""
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                q = np.append(np.asarray(r["v"], dtype=np.float64), 0.0)
+                d = distances(held.value.get(r["dim"], np.zeros((1, r["dim"] + 1))), q)
+                bound = float("inf") if r["bound"] is None else r["bound"]
+                out += [(r["vec_id"], r["v"], r["dim"], i, float(x), bound, bool(x == d.min())) for i, x in enumerate(d)]
+            cols = list(zip(*out, strict=True)) or [()] * 7
+            types = [pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.bool_()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["q", "qv", "dim", "pivot", "to_root", "bound", "nearest"])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,25 +245,32 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, tree_rows: int = 4096
                 tree, out = Tree(r["pages"], r["dim"], most), []
                 for q in r["qs"]:
                     for score, vec in tree.search(q["q"], np.asarray(q["qv"], dtype=np.float64), q["to_root"], k, q["bound"]):
-                        out.append((q["q"], None if vec == LAST else vec, score))
+                        out.append((q["q"], None if vec == LAST else vec, Decimal(max(-LARGEST, min(LARGEST, score)))))
                 cols = list(zip(*out, strict=True)) or [()] * 3
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["q", "vec_id", "score"])
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), SCORE), strict=True)], names=["q", "vec_id", "score"])
 
     def search(asked: DataFrame, first: bool) -> DataFrame:
-        sent = asked.mapInArrow(route(first), "q long, qv array<int>, dim int, pivot int, to_root double, bound double")
-        blocks = sent.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(max(1, -(-wanted // block)))))
-        blocks = blocks.groupBy("dim", "pivot", "b").agg(F.collect_list(F.struct("q", "qv", "to_root", "bound")).alias("qs"))  # about `block` queries
-        joined = blocks.join(trees, ["dim", "pivot"]).repartition(max(8, spark.sparkContext.defaultParallelism), "dim", "pivot", "part", "b")
-        return stash(joined.select("dim", "pages", "qs").mapInArrow(look, "q long, vec_id long, score long"), "found")
+        """Queries in the trees of their nearest pivot, or in those of the others that their bound doesn't rule out."""
+        sent = asked.mapInArrow(measured, "q long, qv array<double>, dim int, pivot int, to_root double, bound double, nearest boolean")
+        sent = sent.where("nearest" if first else "not nearest").join(F.broadcast(reach), ["dim", "pivot"])  # 24 bytes a tree
+        sent = sent.select("q", "qv", "dim", "pivot", "to_root", "bound", F.explode("rings").alias("r"))
+        least = F.greatest(F.col("to_root") - F.col("r.high"), F.col("r.low") - F.col("to_root"))
+        sent = sent.where(least <= F.col("bound")).withColumn("b", F.pmod(F.xxhash64("q"), F.lit(max(1, -(-wanted // block)))))
+        blocks = sent.groupBy("dim", "pivot", F.col("r.part").alias("part"), "b").agg(F.collect_list(F.struct("q", "qv", "to_root", "bound")).alias("qs"))  # about `block` queries
+        joined = blocks.join(trees, ["dim", "pivot", "part"]).repartition(max(8, spark.sparkContext.defaultParallelism), "dim", "pivot", "part", "b")
+        return stash(joined.select("dim", "pages", "qs").mapInArrow(look, "q long, vec_id long, score decimal(38,0)"), "found")
 
     order = Window.partitionBy("q").orderBy(F.desc("score"), F.coalesce("vec_id", F.lit(LAST)))
     wanted = queries.count()
     near = search(queries.withColumn("bound", F.lit(None).cast("double")), True)
-    kth = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("q").alias("vec_id"), F.col("score").alias("kth"))
-    asked = queries.join(kth, "vec_id", "left")
-    asked = asked.withColumn("bound", F.sqrt(F.greatest(F.lit(0.0), F.col("n2") + F.lit(most) - 2 * F.col("kth"))))
-    every = near.unionByName(search(asked, False)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return every.select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    kth = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("q").alias("vec_id"), F.col("score").cast("double").alias("kth"))
+    base = F.col("n2") + F.lit(most)
+    # Off by more than rounding; none for a query that has met fewer than k rows.
+    bound = F.when(F.col("kth").isNotNull(), F.sqrt(F.greatest(F.lit(0.0), base - 2 * F.col("kth"))) + 1e-6 * F.sqrt(1 + base))
+    every = near.unionByName(search(queries.join(kth, "vec_id", "left").withColumn("bound", bound), False))
+    every = every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    score = F.greatest(F.lit(-LAST - 1).cast("decimal(38,0)"), F.least(F.lit(LAST).cast("decimal(38,0)"), F.col("score")))
+    return every.select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", score.cast("long").alias("score"))
 
 
 def query(embeddings: DataFrame) -> DataFrame:

@@ -6,16 +6,16 @@ import numpy as np
 from tamiz.llm import mtree
 
 
-def brute(rows, k=5):
+def brute(rows, k=5, single=True):
     v = {}
     for i, x in rows:
         if x is not None and all(c is not None and math.isfinite(c) for c in x):
-            v[i] = [max(-(2**25), min(2**25, math.floor(256 * float(np.float32(c))))) for c in x]
+            v[i] = [math.floor(256 * (float(np.float32(c)) if single else c)) for c in x]
     out = set()
     for q in v:
         if q is not None and q % 50 == 0:
             best = sorted((-sum(a * b for a, b in zip(v[q], v[i], strict=True)), math.inf if i is None else i, i) for i in v if i != q and len(v[i]) == len(v[q]))[:k]
-            out |= {(q, r, i, -s) for r, (s, _, i) in enumerate(best, 1)}
+            out |= {(q, r, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, _, i) in enumerate(best, 1)}
     return out
 
 
@@ -50,6 +50,30 @@ def test_odd_vectors(spark):
     assert mtree.query(df.limit(0)).count() == 0
 
 
+def test_large_components_are_whole_numbers(spark):
+    """Products beyond 53 bits, and ties that differ in the last bit alone."""
+    rnd = random.Random(2)
+    rows = [(i, [rnd.uniform(-2e5, 2e5) for _ in range(64)]) for i in range(200)]
+    rows += [(1000 + i, [x + rnd.choice([0, 1 / 256]) for x in rows[0][1]]) for i in range(50)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows, single=False)
+    assert ours(df, tree_rows=60, pivots=4) == want
+    assert any(abs(s) > 2**53 for *_, s in want)
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(0, [1.0], 1, [2], 3, "x"), (1, [2.0], 1, [2], 3, "y")], "vec_id long, embedding array<float>, n2 int, v array<int>, dim int, hash string")
+    assert {tuple(r) for r in mtree.query(df).collect()} == {(0, 1, 1, 256 * 512)}
+
+
+def test_far_trees_are_ruled_out(spark):
+    """Of clusters far apart a query reads its own: the others' rings are beyond its bound."""
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=16) * 0.01 + 10 * np.eye(16)[i % 8]).tolist()) for i in range(1600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert ours(df, tree_rows=100, pivots=8) == brute(rows, single=False)
+
+
 def test_bounds_save_computations():
     rng = np.random.default_rng(0)
     v = (rng.normal(size=(20, 8))[rng.integers(0, 20, 4000)] * 200 + rng.normal(size=(4000, 8)) * 5).astype(int)
