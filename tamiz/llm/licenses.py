@@ -15,6 +15,7 @@ gives an empty table; columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
@@ -86,9 +87,12 @@ class Scanner:
         for i, spans in windows.items():
             label, _, k = self.notices[i]
             best: list[tuple[int, int, int]] = []
-            for low, high in spans:
-                for m in self.patterns[i].finditer(joined, low, high):
+            shortest = len(self.notices[i][1]) - k
+            while spans:  # the best match of a span first, then what is left before and behind it
+                low, high = spans.pop()
+                if high - low >= shortest and (m := self.patterns[i].search(joined, low, high)):
                     best.append((sum(m.fuzzy_counts), m.start(), m.end()))
+                    spans += [[low, m.start()], [max(m.end(), m.start() + 1), high]]
             kept: list[tuple[int, int, int]] = []
             for e, a, b in sorted(best):
                 if all(b <= x or a >= y for _, x, y in kept):
@@ -103,12 +107,15 @@ class Scanner:
         lined = b" " + joined + b" "
         base = []
         for phrase, label in BASE.items():
-            wanted, at = b" " + phrase.encode() + b" ", 0
-            while (at := lined.find(wanted, at)) >= 0:
-                base.append((label, lined.count(b" ", 0, at)))
-                at += 1
+            wanted, at, word = b" " + phrase.encode() + b" ", -1, 0
+            while (here := lined.find(wanted, at + 1)) >= 0:
+                word += lined.count(b" ", max(at, 0), here)
+                base.append((label, word))
+                at = here
         decoded = joined.decode("utf-8", "replace")
-        matches = [(label, decoded.count(" ", 0, a + (decoded[a : a + 1] == " ")), decoded.count(" ", 0, max(a, b - 1)), e, b - a) for label, a, b, e in self.fuzzy(decoded)]
+        found = self.fuzzy(decoded)
+        gaps = [i for i, c in enumerate(decoded) if c == " "] if found else []
+        matches = [(label, bisect_left(gaps, a + (decoded[a : a + 1] == " ")), bisect_left(gaps, max(a, b - 1)), e, b - a) for label, a, b, e in found]
         return len(words), sorted(base, key=lambda x: (x[1], x[0])), matches
 
 

@@ -66,3 +66,14 @@ def test_exact_seed_for_every_bounded_error_match():
             s[i : i + (op > 0)] = [] if op == 1 else ["z"]
         text = "aa bb " + "".join(s) + " cc"
         assert bool(regex.search(f"(?:{notice}){{e<={k}}}", text)) == bool(scanner.fuzzy(text))
+
+
+def test_every_copy_of_a_notice_is_found():
+    """An edited copy before a better one, and many of them."""
+    scanner = licenses.Scanner({"mit": ["released under the mit license"]})
+    found = scanner.scan("released under the mit licence and then released under the mit license")[2]
+    assert [(f, e) for _, f, _, e, _ in found] == [(0, 1), (7, 0)]
+    found = scanner.scan("released under the mut license or " * 40)[2]
+    assert [f for _, f, _, _, _ in found] == [6 * i for i in range(40)]
+    words, base, _ = scanner.scan("x mit license y " * 30)
+    assert words == 120 and [w for _, w in base] == [4 * i + 1 for i in range(30)]
