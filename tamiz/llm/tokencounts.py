@@ -4,10 +4,11 @@ A batch is a set of changes: an insert adds a document's tokens, a delete takes
 adds the new ones. Each is a signed row (source, lang, version, docs, tokens), as counts add up, and a batch is committed
 as the sums of its rows by source, language and tokenizer version. Totals are the sums over all committed batches.
 
-A commit is a folder named after the batch, which Spark's committer completes with a _SUCCESS mark. A batch that has one
-is not committed again, so a batch that is replayed, in whole or after a failure, counts once; a folder without the mark
-is not read, and is replaced when its batch comes again. compact() writes the sums of several commits as one, with the
-names of what it holds, so that these too are not committed again.
+A commit is written beside and then renamed to a folder named after its batch, which takes effect at once or not at all: of
+two writers of one batch the first wins, and what the second has written is dropped. A batch that is there is not committed
+again, so a batch that is replayed, in whole or after a failure, counts once; a folder without Spark's _SUCCESS mark is not
+read, and is replaced when its batch comes again. compact() puts the sums of all commits, and of the compaction before, into
+one, with the names of the batches that it holds; it may run again and again. Only the last one that is complete counts.
 
 Two tokenizer versions are counted: words apart by ASCII white space, and a public byte-level BPE vocabulary, whose path
 is a parameter. A text's count is over the whole text; its pieces are counted once for each worker.
@@ -21,6 +22,7 @@ than doc_id, text, source and lang are not read.
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 from functools import cache
 
@@ -92,63 +94,73 @@ def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Totals in a folder that all executors share."""
+    """Totals in a folder that all executors share, on a file system that renames a folder in one step."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-        self.fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.fs = self._hadoop(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _hadoop(self, path: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(path)
 
-    def _folders(self) -> list[str]:
-        """Names of the completed commits, without those that a compaction holds."""
-        if not self.fs.exists(self._hadoop(self.path)):
-            return []
-        names = [s.getPath().getName() for s in self.fs.listStatus(self._hadoop(self.path))]
-        return sorted(n for n in names if self.fs.exists(self._hadoop(f"{self.path}/{n}/_SUCCESS")))
+    def _exists(self, name: str) -> bool:
+        return self.fs.exists(self._hadoop(f"{self.path}/{name}"))
 
-    def _held(self, folders: list[str]) -> dict[str, set[str]]:
-        """The batches that each compaction holds."""
-        return {n: {r[0] for r in self.spark.read.schema("batch string").parquet(f"{self.path}/{n}/held").distinct().collect()} for n in folders if n.startswith("compact=")}
+    def _complete(self, kind: str) -> list[str]:
+        """Names of the complete folders of a kind, batch or compact."""
+        marks = self.fs.globStatus(self._hadoop(f"{self.path}/{kind}=*/_SUCCESS")) or []
+        return sorted(m.getPath().getParent().getName().removeprefix(f"{kind}=") for m in marks)
+
+    def _last(self) -> tuple[int, set[str]]:
+        """The number of the last compaction, 0 if there is none, and the batches that it holds."""
+        last = max(map(int, self._complete("compact")), default=0)
+        if not last:
+            return 0, set()
+        return last, {r.batch for r in self.spark.read.schema("batch string").parquet(f"{self.path}/compact={last}/held").collect()}
 
     def batches(self) -> set[str]:
         """Names of all committed batches."""
-        folders = self._folders()
-        return {n.removeprefix("batch=") for n in folders if n.startswith("batch=")}.union(*self._held(folders).values())
+        return set(self._complete("batch"))
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Commits signed rows (source, lang, version, docs, tokens) as this batch, unless it has been; whether it did."""
-        if batch in self.batches():
+        place = f"batch={batch}"
+        if self._exists(f"{place}/_SUCCESS"):
             return False
+        own = f"_writing-{uuid.uuid4().hex}"  # hidden from readers, also within another's folder
         sums = changes.groupBy("source", "lang", "version").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        sums.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
-        return True
-
-    def _deltas(self) -> DataFrame:
-        folders = self._folders()
-        held = set().union(*self._held(folders).values())
-        paths = [f"{self.path}/{n}" for n in folders if n.startswith("batch=") and n.removeprefix("batch=") not in held]
-        paths += [f"{self.path}/{n}/sums" for n in folders if n.startswith("compact=")]
-        if not paths:
-            return self.spark.createDataFrame([], ROLLUP)
-        return self.spark.read.schema(ROLLUP).parquet(*paths)
+        sums.write.parquet(f"{self.path}/{own}")
+        if self._exists(place) and not self._exists(f"{place}/_SUCCESS"):
+            self.fs.delete(self._hadoop(f"{self.path}/{place}"), True)
+        done = self.fs.rename(self._hadoop(f"{self.path}/{own}"), self._hadoop(f"{self.path}/{place}"))
+        late = f"{place}/{own}"  # where a folder goes that is renamed to one that is there
+        for left in (late, own):
+            if self._exists(left):
+                self.fs.delete(self._hadoop(f"{self.path}/{left}"), True)
+                done = False
+        return bool(done)
+
+    def _sums(self, last: int, batches: list[str]) -> DataFrame:
+        paths = [f"{self.path}/batch={b}" for b in batches] + ([f"{self.path}/compact={last}/sums"] if last else [])
+        rows = self.spark.read.schema(ROLLUP).parquet(*paths) if paths else self.spark.createDataFrame([], ROLLUP)
+        sums = rows.groupBy("source", "lang", "version").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        return sums.where("docs <> 0 or tokens <> 0")
 
     def totals(self) -> DataFrame:
         """(source, lang, version, docs, tokens) over all committed batches."""
-        sums = self._deltas().groupBy("source", "lang", "version").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        return sums.where("docs <> 0 or tokens <> 0")
-
-    def compact(self, name: str) -> None:
-        """Puts all commits into one. Until its mark is there the single commits count, from then on they don't."""
-        done = f"{self.path}/compact={name}"
-        batches = sorted(self.batches())
-        old = [n for n in self._folders() if n.startswith("compact=")]
-        if old:
-            raise ValueError("a rollup is compacted once; copy the totals to a new one")
-        self.totals().write.mode("overwrite").parquet(f"{done}/sums")
-        self.spark.createDataFrame([(b,) for b in batches], "batch string").write.mode("overwrite").parquet(f"{done}/held")
+        last, held = self._last()
+        return self._sums(last, sorted(self.batches() - held))
+
+    def compact(self) -> int:
+        """Puts all commits into one, and gives its number. Until its mark is there the folders before it count, from then on
+        they don't."""
+        last, held = self._last()
+        batches, new = self.batches(), last + 1
+        done = f"{self.path}/compact={new}"
+        self._sums(last, sorted(batches - held)).write.mode("overwrite").parquet(f"{done}/sums")
+        self.spark.createDataFrame([(b,) for b in sorted(batches)], "batch string").write.mode("overwrite").parquet(f"{done}/held")
         self.fs.create(self._hadoop(f"{done}/_SUCCESS"), True).close()
+        return new
 
 
 def query(docs: DataFrame, path: str) -> DataFrame:

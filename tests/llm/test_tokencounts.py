@@ -1,7 +1,5 @@
 from collections import Counter
 
-import pytest
-
 from tamiz.llm import tokencounts as tc
 from tamiz.sources.scratch import scratch
 
@@ -44,11 +42,26 @@ def test_batches_count_once(spark):
     assert r.commit("2", tc.revisions(rows(("a", "en", 5, 7)), two))
     want = {("a", "en", tc.WORDS): (1, 2), ("a", "en", tc.BPE): (1, 3), ("a", None, tc.WORDS): (1, 1), ("a", None, tc.BPE): (1, 1)}
     assert totals(r.totals()) == want
-    r.compact("x")
+    assert r.compact() == 1
     assert totals(r.totals()) == want and r.batches() == {"1", "2"} and not r.commit("2", tc.inserts(one))
     assert r.commit("3", tc.deletes(two)) and ("a", "en", tc.BPE) not in totals(r.totals())
-    with pytest.raises(ValueError):
-        r.compact("y")
+    left = totals(r.totals())
+    assert r.compact() == 2 and totals(r.totals()) == left and not r.commit("3", tc.deletes(two))
+    assert r.commit("4", tc.inserts(two)) and totals(r.totals()) == want
+
+
+def test_of_two_writers_of_a_batch_one_counts(spark, monkeypatch):
+    r = tc.Rollup(spark, scratch(spark, "rollup"))
+    one = spark.createDataFrame([("a", "en", 5, 7)], "source string, lang string, words long, bpe long")
+    first, see, asked = r.commit("1", tc.inserts(one)), r._exists, []
+
+    def late(name):  # the second writer looked before the first was done
+        asked.append(name)
+        return len(asked) > 1 and see(name)
+
+    monkeypatch.setattr(r, "_exists", late)
+    assert first and not r.commit("1", tc.inserts(one))
+    assert totals(r.totals()) == {("a", "en", tc.WORDS): (1, 5), ("a", "en", tc.BPE): (1, 7)}
 
 
 def test_a_batch_without_its_mark_is_not_read_and_comes_again(spark):
