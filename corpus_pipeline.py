@@ -1,4 +1,10 @@
-"""Cleans and mixes the documents in five stages, each an operator of tamiz.llm."""
+"""Cleans and mixes the documents in five stages, each an operator of tamiz.llm.
+
+Defined cases, for every stage: null, empty and blank texts, null ids, languages and sources, and further columns of any
+name are no error; an empty table gives an empty one. Language ID rejects null texts and texts without a letter; the other
+stages keep an empty text once. Repeated rows are one document to line dedup and decontamination, and one of them is left by
+near-dedup. All but the last stage return the columns of the documents, in their order.
+"""
 
 from __future__ import annotations
 
@@ -8,11 +14,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tamiz.llm import decontam, langid, linededup, mixing, neardup
-from tamiz.llm.common import shared_dir, table
+from tamiz.llm.common import remove, scope, shared_dir, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be told go."""
+    """Documents without a letter go, and those whose language is predicted with too low a score."""
     return langid.accepted(docs)
 
 
@@ -32,8 +38,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
-    return mixing.query(docs)
+    """The mix: (shard, slot, start, doc_id, source, words), the pieces of text in each slot of each output shard."""
+    return mixing.mixed_texts(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -49,10 +55,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to the documents; each one's result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to the documents; each one's result is written to the shared folder and read again, and what it is
+    made of is removed from there."""
+    docs, before = table(spark, sf_dir, "documents"), None
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
-        docs = spark.read.parquet(f"{base}/{k}")
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
+        if before:
+            remove(spark, before)
+        before = f"{base}/{k}"
+        docs = spark.read.parquet(before)
     return docs

@@ -1,8 +1,12 @@
+from collections import defaultdict
+
 import corpus_pipeline
 from test_decontam import brute as leaks
 from test_linededup import brute as line_table
 from test_mixing import check as check_mix
-from test_simhash import brute as groups
+from test_neardup import brute as near_left
+
+from tamiz.llm import mixing
 
 
 def test_stages_against_brute_force(spark, documents, sf, tmp_path):
@@ -23,12 +27,19 @@ def test_stages_against_brute_force(spark, documents, sf, tmp_path):
                 left = [x for n, x in enumerate(t.split("\n")) if table.get((d, n), (0, 0, True))[2]]
                 assert after.get(d, "") == "\n".join(left) or (d not in after and not "".join(left).strip())
         elif name == "SimHash near-dedup":
-            keep = {c for _, _, c in groups(list(before.items()))}
-            assert {str(d) for d in after} == keep
+            assert set(after) == near_left(sorted(before.items()))
         elif name == "benchmark decontamination":
             bad = {d for d, _ in leaks(list(before.items()), [(r.item_id, r.text) for r in bench.collect()])}
             assert set(after) == set(before) - bad and bad
         else:
+            taken = defaultdict(int)
+            for r in mixing.mix(docs).collect():
+                taken[r.doc_id] += r.taken
+            held = defaultdict(int)
+            for r in out.collect():
+                held[r.doc_id] += len(r.words.split())
+                assert r.words in " ".join(before[r.doc_id].split())
+            assert held == {d: n for d, n in taken.items() if n}
             check_mix(docs)
         docs = out
 
