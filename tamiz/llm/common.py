@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamiz.functions.once import let
+
+__all__ = ["BROADCAST_BYTES", "arrow_rows", "components", "drop_rows", "first_by_hash", "fresh", "let", "maybe_broadcast", "remove", "scope", "shared_dir", "stash", "table", "text_key", "unstash"]
+
 #: Bytes up to which a side is broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 32_000_000
+#: Rows of a batch that goes to Python, at most, while a table is written.
+ARROW_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,12 +37,29 @@ def shared_dir(spark: SparkSession) -> str:
 _scopes: list[list[str]] = []
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: its lineage ends there, and a lost executor loses nothing."""
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int = ARROW_ROWS) -> Iterator[None]:
+    """Batches that go to Python within have so many rows at most, as texts may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= most:
+        spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def stash(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
+    """Writes a table to the shared folder and reads it again: its lineage ends there, and a lost executor loses nothing.
+
+    It is removed with the scope that it is written in; with the one around that, if there is one, if `outer`.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    for paths in _scopes[-1:]:
+    with arrow_rows(spark):
+        df.write.parquet(path)
+    for paths in (_scopes[:-1] if outer else _scopes)[-1:]:
         paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stashed = path
@@ -76,12 +99,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with the value computed once for a row: used within a lambda, a plain column's definition may be put
-    in its place by the optimizer and computed for every element."""
-    return F.transform(F.array(value), then)[0]
-
-
 def maybe_broadcast(df: DataFrame, rows: int, width: int = 64) -> DataFrame:
     """df, which has so many rows of so many bytes in memory, marked for broadcast if it is small enough."""
     return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df

@@ -27,7 +27,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.llm.common import drop_rows, let, maybe_broadcast, stash, text_key
+from tamiz.llm.common import drop_rows, let, maybe_broadcast, scope, stash, text_key
 
 #: Offsets that the masks select, for items of FEW tokens and more, for shorter ones, for two tokens and for one.
 MASKS = ((0, 2, 3, 9), (0, 3, 5, 7))
@@ -137,7 +137,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 16, agree: floa
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 16, agree: float = 0.8) -> DataFrame:
     """docs without those in which a benchmark item was verified."""
-    gone = stash(matches(docs, benchmark, window, agree).select("doc_id", "th").distinct(), "leaks")
+    with scope(docs.sparkSession):
+        gone = stash(matches(docs, benchmark, window, agree).select("doc_id", "th").distinct(), "leaks", outer=True)
     return drop_rows(docs, gone, gone.count())
 
 

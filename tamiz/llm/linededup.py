@@ -30,7 +30,7 @@ from itertools import combinations, product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.llm.common import fresh, let, maybe_broadcast, stash, text_key
+from tamiz.llm.common import fresh, let, maybe_broadcast, scope, stash, text_key
 
 _LAST = 2**63 - 1
 
@@ -196,7 +196,6 @@ def distance(x: Column, y: Column, tau: int) -> Column:
 
 def line_classes(docs: DataFrame, tau: int = 2, min_chars: int = 20, parts: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Classes (h1, h2, n, at), links (a, b, edits) between the classes' h1, and places (doc_id, th, line_no, h1, h2)."""
-    spark = docs.sparkSession
     found = lines(docs).where(F.col("line").rlike(r"\S"))
     least, size = max(min_chars, parts, tau + 1), F.char_length("line")
     keys = [F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2")]
@@ -205,6 +204,13 @@ def line_classes(docs: DataFrame, tau: int = 2, min_chars: int = 20, parts: int
     at = place(F.col("doc_id"), F.col("line_no")).alias("at")
     flat = found.withColumn("keyed", F.when(size >= least, F.col("line")))
     flat = flat.select(*keys, at, *[k.alias(s) for s, (k, _) in zip(sig, own, strict=True)])
+    with scope(docs.sparkSession):
+        return _linked(found, flat, sig, index, keys, at, tau, least, parts)
+
+
+def _linked(found: DataFrame, flat: DataFrame, sig: list[str], index: list[int], keys: list[Column], at: Column, tau: int, least: int, parts: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What line_classes() returns; the tables on the way are removed."""
+    spark, size = found.sparkSession, F.char_length("line")
     classes = stash(flat.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("at").alias("at"), *[F.min(s).alias(s) for s in sig]), "classes")
 
     # A key is shared if one line is indexed under it and another, indexed or not, has it.
@@ -223,10 +229,10 @@ def line_classes(docs: DataFrame, tau: int = 2, min_chars: int = 20, parts: int
     # Few bytes, but each pair is work: dealt to as many tasks as there are thousands of pairs, or cores.
     tasks = max(spark.sparkContext.defaultParallelism, pairs.count() // 5000)
     # Written before the filter: the optimizer would put the distance's definition into it, array by array.
-    edits = stash(with_distance(both.repartition(tasks, "a", "b"), "la", "lb", tau).select("a", "b", "edits"), "edits")
+    edits = stash(with_distance(both.repartition(tasks, "a", "b"), "la", "lb", tau).select("a", "b", "edits"), "edits", outer=True)
     links = edits.where(F.col("edits") <= tau).distinct()
     places = found.select("doc_id", "th", "line_no", *keys)
-    return classes.select("h1", "h2", "n", "at"), links, places
+    return stash(classes.select("h1", "h2", "n", "at"), "classes", outer=True), links, places
 
 
 def line_duplicates(docs: DataFrame, tau: int = 2, min_chars: int = 20) -> DataFrame:
@@ -256,10 +262,12 @@ def dedup_lines(docs: DataFrame, tau: int = 2, min_chars: int = 20) -> DataFrame
 
     An integer column n_chars follows the text.
     """
-    lost = line_duplicates(docs, tau, min_chars).where(~F.col("keep"))
     names = [fresh(docs, n) for n in ("lost_id", "lost_th", "lost_lines", "text_now")]
     key, th, gone, new = names
-    lost = stash(lost.groupBy(F.col("doc_id").alias(key), F.col("th").alias(th)).agg(F.collect_set("line_no").alias(gone)), "lost")  # at most a document's lines
+    with scope(docs.sparkSession):
+        lost = line_duplicates(docs, tau, min_chars).where(~F.col("keep"))
+        lost = lost.groupBy(F.col("doc_id").alias(key), F.col("th").alias(th)).agg(F.collect_set("line_no").alias(gone))  # at most a document's lines
+        lost = stash(lost, "lost", outer=True)
     rows, numbers = lost.agg(F.count("*"), F.coalesce(F.sum(F.size(gone)), F.lit(0))).first()
     match = docs["doc_id"].eqNullSafe(lost[key]) & (text_key(docs["text"]) == lost[th])
     both = docs.join(maybe_broadcast(lost, rows, 64 + 4 * numbers // max(1, rows)), match, "left")

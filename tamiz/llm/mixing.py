@@ -28,11 +28,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamiz.llm.common import let, maybe_broadcast, stash, text_key
+from tamiz.llm.common import let, maybe_broadcast, scope, stash, text_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rounds of the permutations.
-ROUNDS = 24
+ROUNDS = 16
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -62,13 +62,18 @@ def targets(totals: DataFrame) -> DataFrame:
 
 def packed(docs: DataFrame, block: int, bucket_rows: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """Rows (k, doc_id, th, size, start, source_size, target) and sources (k, source, source_size, target, blocks, slots)."""
+    with scope(docs.sparkSession):
+        return _packed(docs, block, bucket_rows, seed)
+
+
+def _packed(docs: DataFrame, block: int, bucket_rows: int, seed: int) -> tuple[DataFrame, DataFrame]:
     rows = stash(sizes(docs), "sizes")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sources = targets(totals.select("source", "source_size")).join(totals.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     cells = F.ceil(F.col("source_size") / block)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     slots = passes * cells + F.ceil((F.ceil("target") - passes * F.col("source_size")) / block)
-    sources = stash(sources.withColumn("blocks", cells).withColumn("slots", slots).withColumn("buckets", F.ceil(F.col("n") / bucket_rows)).drop("n"), "sources")
+    sources = stash(sources.withColumn("blocks", cells).withColumn("slots", slots).withColumn("buckets", F.ceil(F.col("n") / bucket_rows)).drop("n"), "sources", outer=True)
 
     known = maybe_broadcast(sources.select(F.col("source").alias("s"), "k", "buckets", "source_size", "target"), sources.count(), 128)
     rows = rows.join(known, F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -81,18 +86,22 @@ def packed(docs: DataFrame, block: int, bucket_rows: int, seed: int) -> tuple[Da
     sums = sums.select(F.col("k").alias("k2"), F.col("bucket").alias("b2"), F.coalesce(F.sum("all").over(along), F.lit(0)).alias("outer"))
     rows = rows.join(sums, (F.col("k") == F.col("k2")) & (F.col("bucket") == F.col("b2")))
     rows = rows.select("k", "doc_id", "source", "th", "size", "source_size", "target", (F.col("outer") + F.col("inner")).alias("start"))
-    return stash(rows, "packed"), sources
+    return stash(rows, "packed", outer=True), sources
+
+
+def turns(k: Column, seed: int) -> Column:
+    """The rounds' keys of a permutation."""
+    return F.transform(F.sequence(F.lit(1), F.lit(ROUNDS)), lambda i: F.xxhash64(k.cast("long"), i, F.lit(seed)))
 
 
-def permuted(j: Column, n: Column, k: Column, seed: int) -> Column:
-    """Index j below n under the permutation of source k."""
+def permuted(j: Column, n: Column, keys: Column) -> Column:
+    """Index j below n under the permutation of these keys."""
 
-    def turn(x: Column, i: Column) -> Column:
-        mirror = F.pmod(F.pmod(F.xxhash64(k, i, F.lit(seed)), n) - x, n)
-        swap = lambda m: F.when(F.xxhash64(k, i, F.greatest(x, m), F.lit(seed + 1)).bitwiseAND(F.lit(1)) == 1, m).otherwise(x)
-        return let(mirror, swap)
+    def turn(x: Column, key: Column) -> Column:
+        mirror = F.pmod(F.pmod(key, n) - x, n)
+        return F.when(F.xxhash64(key, F.greatest(x, mirror)).bitwiseAND(F.lit(1)) == 1, mirror).otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), j.cast("long"), turn)
+    return F.aggregate(keys, j.cast("long"), turn)
 
 
 def draw(sources: DataFrame, block: int, shard: int, seed: int) -> DataFrame:
@@ -101,16 +110,19 @@ def draw(sources: DataFrame, block: int, shard: int, seed: int) -> DataFrame:
     s = sources.where("slots > 0").withColumn("first", F.coalesce(F.sum("slots").over(first), F.lit(0)))
     s = s.withColumn("every", F.sum("slots").over(Window.partitionBy()))
     # Slots are listed in runs of 4096, so that no source's list is in one row, and the runs are dealt to many tasks.
-    runs = s.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / 4096))))
+    runs = s.withColumn("turns", turns(F.col("k"), seed + 2)).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / 4096))))
     every = sources.agg(F.sum("slots")).first()[0] or 0
-    runs = runs.repartition(max(sources.sparkSession.sparkContext.defaultParallelism, every // 1_000_000), "k", "run")
+    runs = runs.repartition(max(sources.sparkSession.sparkContext.defaultParallelism, every // 100_000), "k", "run")
     j = runs.withColumn("j", F.explode(F.sequence(F.col("run") * 4096, F.least(F.col("run") * 4096 + 4095, F.col("slots") - 1))))
-    at = permuted(F.col("first") + F.col("j"), F.col("every"), F.lit(-1).cast("long"), seed)
     full, inner = F.floor(F.col("source_size") / block), F.pmod("j", "blocks")
-    index = F.when(inner < full, permuted(inner, F.greatest(full, F.lit(1)), F.col("k").cast("long"), seed + 2)).otherwise(full)
-    width = F.when(inner < full, F.lit(block)).otherwise(F.col("source_size") - full * block)
-    rest = F.ceil("target") - F.floor(F.col("j") / F.col("blocks")) * F.col("source_size") - inner * block
-    return j.select(F.floor(at / shard).alias("shard"), F.pmod(at, F.lit(shard)).alias("slot"), "k", index.alias("block"), F.least(width, rest).cast("long").alias("words"))
+    at = permuted(F.col("first") + F.col("j"), F.col("every"), turns(F.lit(-1), seed))
+    # Written, as the permutations would else be made again for each condition on what they give.
+    j = j.select("k", "j", "source_size", "blocks", "target", full.alias("full"), inner.alias("inner"), at.alias("at"), permuted(inner, F.greatest(full, F.lit(1)), F.col("turns")).alias("index"))
+    j = stash(j, "slots")
+    index = F.when(F.col("inner") < F.col("full"), F.col("index")).otherwise(F.col("full"))
+    width = F.when(F.col("inner") < F.col("full"), F.lit(block)).otherwise(F.col("source_size") - F.col("full") * block)
+    rest = F.ceil("target") - F.floor(F.col("j") / F.col("blocks")) * F.col("source_size") - F.col("inner") * block
+    return j.select(F.floor(F.col("at") / shard).alias("shard"), F.pmod("at", F.lit(shard)).alias("slot"), "k", index.alias("block"), F.least(width, rest).cast("long").alias("words"))
 
 
 def shard_counts(slots: DataFrame) -> DataFrame:
@@ -132,26 +144,22 @@ def pieces(rows: DataFrame, slots: DataFrame, block: int) -> DataFrame:
 def mixed_texts(docs: DataFrame, block: int = 64, shard: int = 4096, seed: int = 11) -> DataFrame:
     """(shard, slot, start, doc_id, source, words): the mix itself, each slot's pieces, the words of a piece joined by spaces.
 
-    A slot's pieces stand in the order of start. A text is cut into the pieces of its blocks once, and only these meet slots.
+    A slot's pieces stand in the order of start. Blocks and slots meet without texts; a document's pieces, no more than three
+    times its blocks, then go to its text together, which moves once.
     """
     rows, sources = packed(docs, block, 2000, seed)
-    slots = draw(sources, block, shard, seed)
-    texts = docs.select(F.col("doc_id").cast("long").alias("d"), text_key().alias("t"), "text").where(F.col("text").rlike(WORD)).dropDuplicates(["d", "t"])
-    own = rows.where("size > 0").join(texts, rows["doc_id"].eqNullSafe(texts["d"]) & (rows["th"] == texts["t"]))
-    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
-
-    def cut(words: Column) -> Column:
-        """A piece for each block that the text reaches: the block, its place in it, and the words."""
-        low = lambda b: F.greatest(F.lit(0).cast("long"), b * block - F.col("start"))
-        high = lambda b: F.least(F.col("size"), (b + 1) * block - F.col("start"))
-        piece = lambda b: F.struct(b.alias("block"), F.slice(words, (low(b) + 1).cast("int"), (high(b) - low(b)).cast("int")).alias("piece"), (F.col("start") + low(b) - b * block).alias("head"))
-        return F.transform(F.sequence(first, last), piece)
-
-    words = let(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), cut)
-    each = own.select("k", "doc_id", "source", "start", F.explode(words).alias("x")).select("k", "doc_id", "source", "start", "x.*")
-    both = each.join(slots.hint("merge"), ["k", "block"])
-    taken = F.least(F.size("piece").cast("long"), F.col("words") - F.col("head")).cast("int")
-    return both.where(taken > 0).select("shard", "slot", "start", "doc_id", "source", F.array_join(F.slice("piece", F.lit(1), taken), " ").alias("words"))
+    cut = pieces(rows, draw(sources, block, shard, seed), block).join(maybe_broadcast(sources.select("k", "source"), sources.count()), "k")
+    piece = F.struct("shard", "slot", "start", "source", (F.col("word") + 1).cast("int").alias("word"), F.col("words").cast("int").alias("words"))
+    own = cut.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_list(piece).alias("all"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("th"), "text")
+    again = stash(rows.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
+    if copies := again.count():  # repeated rows: their pieces are together already
+        many = maybe_broadcast(again.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2")), copies)
+        same = texts["doc_id"].eqNullSafe(many["d2"]) & (texts["th"] == many["t2"])
+        texts = texts.join(many, same, "left_anti").unionByName(texts.join(many, same, "left_semi").dropDuplicates(["doc_id", "th"]))
+    both = texts.join(own, texts["doc_id"].eqNullSafe(own["d"]) & (texts["th"] == own["t"]))
+    said = let(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda words: F.transform("all", lambda p: F.struct(p["shard"].alias("shard"), p["slot"].alias("slot"), p["start"].alias("start"), p["source"].alias("source"), F.array_join(F.slice(words, p["word"], p["words"]), " ").alias("words"))))
+    return both.select("doc_id", F.explode(said).alias("x")).select("x.shard", "x.slot", "x.start", "doc_id", "x.source", "x.words")
 
 
 def mix(docs: DataFrame, block: int = 64, shard: int = 4096, seed: int = 11) -> DataFrame:

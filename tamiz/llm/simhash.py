@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.llm.common import components, drop_rows, maybe_broadcast, stash, text_key
+from tamiz.llm.common import components, drop_rows, maybe_broadcast, scope, stash, text_key
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.float64)
 
@@ -124,7 +124,11 @@ def links(nodes: DataFrame, max_bits: int = 2, bucket: int = 32) -> DataFrame:
 
 def simhash_groups(docs: DataFrame, words: int = 3, max_bits: int = 2, bucket: int = 32) -> DataFrame:
     """(doc_id, th, fp, component_id): component_id is the smallest doc_id reachable over links of max_bits or fewer."""
-    prints = stash(fingerprints(docs, words), "prints")
+    return groups_of(stash(fingerprints(docs, words), "prints"), max_bits, bucket)
+
+
+def groups_of(prints: DataFrame, max_bits: int = 2, bucket: int = 32) -> DataFrame:
+    """The same of prints(doc_id, th, fp), a table."""
     nodes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "nodes")
     roots = stash(components(links(nodes.select("fp"), max_bits, bucket)), "roots")
     named = roots.join(nodes, roots["node"] == nodes["fp"])
@@ -138,19 +142,20 @@ def simhash_groups(docs: DataFrame, words: int = 3, max_bits: int = 2, bucket: i
 
 def dedup(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
     """docs with one document of each group: the one of the smallest doc_id, of copies of a row the first."""
-    groups = simhash_groups(docs, words, max_bits)
-    return one_of_each(docs, groups.withColumn("grp", F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("x"))))
+    with scope(docs.sparkSession):
+        groups = simhash_groups(docs, words, max_bits)
+        return one_of_each(docs, groups.withColumn("grp", F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("x"))))
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """docs with the least (doc_id, th), null last, of each grp of groups(doc_id, th, grp)."""
+    """docs with the least (doc_id, th), null last, of each grp of groups(doc_id, th, grp), which is called within a scope."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     first = groups.groupBy("grp").agg(F.min(order).alias("w"), F.count("*").alias("n")).where("n > 1")
     lost = groups.join(first, "grp").where(order != F.col("w"))
-    gone = stash(lost.select("doc_id", "th").distinct(), "gone")
+    gone = stash(lost.select("doc_id", "th").distinct(), "gone", outer=True)
     left = drop_rows(docs, gone, gone.count())
     again = groups.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").join(gone, ["doc_id", "th"], "left_anti").drop("n")
-    again = stash(again, "again")
+    again = stash(again, "again", outer=True)
     if not (rows := again.count()):
         return left
     rest = drop_rows(left, again, rows)

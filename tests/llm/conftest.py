@@ -1,7 +1,11 @@
 import random
+import sys
+from pathlib import Path
 
 import pytest
 
+sys.path.insert(0, str(Path(__file__).parent.parent))  # for oracle.py
+
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp int, seed string, p int, size int, k int, th int, pos int, line string, score double, block int"
 
@@ -42,3 +46,20 @@ def empty(spark):
 @pytest.fixture(scope="session")
 def make(spark):
     return lambda texts, **kw: spark.createDataFrame(rows_of(texts, **kw), SCHEMA)
+
+
+@pytest.fixture
+def plans(monkeypatch):
+    """plans(module, make): the plans of all tables that a module writes on the way to make(), and of that."""
+
+    def all_of(module, make):
+        seen, real = [], module.stash
+
+        def noted(df, *args, **kw):
+            seen.append(df._jdf.queryExecution().toString())
+            return real(df, *args, **kw)
+
+        monkeypatch.setattr(module, "stash", noted)
+        return [make()._jdf.queryExecution().toString(), *seen]
+
+    return all_of

@@ -25,9 +25,6 @@ def ours(df, **kw):
 
 
 def test_matches_sql(spark, sf):
-    import sys
-
-    sys.path.insert(0, "tests")
     from oracle import compare, connect
 
     assert compare(mtree.query(spark.read.parquet(f"{sf}/embeddings.parquet")), connect(sf), mtree.SQL) == ""

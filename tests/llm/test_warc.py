@@ -7,9 +7,6 @@ from tamiz.llm import warc
 
 
 def test_query_finds_the_damage(spark, sf):
-    import sys
-
-    sys.path.insert(0, "tests")
     from oracle import compare, connect
 
     assert compare(warc.query(spark.read.parquet(f"{sf}/pages.parquet")), connect(sf), warc.SQL) == ""
