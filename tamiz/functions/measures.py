@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tamiz.functions import text as tx
+from tamiz.functions.once import let
 
 
 def _word(hexed: Column, i: Column) -> Column:
@@ -15,16 +16,16 @@ def _word(hexed: Column, i: Column) -> Column:
 
 def hamming_bits(a: Column, b: Column) -> Column:
     """Differing bits of two strings' UTF-8 bytes; null if their lengths in bytes differ."""
-    x, y = F.hex(a.cast("binary")), F.hex(b.cast("binary"))
     n = F.ceil(F.octet_length(a) / 8).cast("int")
-    bits = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda s, i: s + F.bit_count(_word(x, i).bitwiseXOR(_word(y, i))))
+    both = F.struct(F.hex(a.cast("binary")).alias("x"), F.hex(b.cast("binary")).alias("y"))
+    bits = let(both, lambda h: F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda s, i: s + F.bit_count(_word(h["x"], i).bitwiseXOR(_word(h["y"], i)))))
     return F.when(F.octet_length(a) == F.octet_length(b), F.when(F.octet_length(a) == 0, F.lit(0)).otherwise(bits))
 
 
 def hamming_positions(a: Column, b: Column) -> Column:
     """Differing code points of two strings; null if their lengths differ."""
     x, y = (F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)) for c in (a, b))
-    return F.when(F.size(x) == F.size(y), F.aggregate(F.zip_with(x, y, lambda p, q: (p != q).cast("int")), F.lit(0), lambda s, d: s + d))
+    return F.when(F.char_length(a) == F.char_length(b), F.aggregate(F.zip_with(x, y, lambda p, q: (p != q).cast("int")), F.lit(0), lambda s, d: s + d))
 
 
 def hamming_words(a: Column, b: Column) -> Column:
@@ -64,7 +65,8 @@ def dice(a: Column, b: Column, threshold: float = 0.0) -> Column:
 def bag_intersection(a: Column, b: Column) -> Column:
     """Size of the intersection of two arrays as bags."""
     count = lambda array, t: F.size(F.filter(array, lambda x: x == t))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, t: s + F.least(count(a, t), count(b, t)))
+    total = lambda h: F.aggregate(F.array_intersect(h["a"], h["b"]), F.lit(0), lambda s, t: s + F.least(count(h["a"], t), count(h["b"], t)))
+    return let(F.struct(a.alias("a"), b.alias("b")), total)
 
 
 def jaccard_ratio(inter: Column, n: Column, m: Column) -> Column:

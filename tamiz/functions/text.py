@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tamiz.functions.once import let
+
 # Stop-words of the word tokeniser.
 STOP_WORDS = (
     "el la los las un una unos unas lo al del a e o y de en con por para que es su se no si le yo tu él ella nos vos ellos ellas"
@@ -26,8 +28,9 @@ def _form(name: str):
 
 
 def _only_beyond_ascii(c: Column, name: str) -> Column:
-    """Unicode normal form; text of ASCII alone stays in the JVM's hands."""
-    return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(_form(name)(c))
+    """Unicode normal form. Text of ASCII alone is its own: the UDF is given a null in its place."""
+    plain = F.octet_length(c) == F.char_length(c)
+    return F.coalesce(_form(name)(F.when(~plain, c)), c)
 
 
 def nfc(c: Column) -> Column:
@@ -83,6 +86,9 @@ def word_tokens(c: Column) -> Column:
 
 def bigram_shingles(c: Column) -> Column:
     """The set of pairs of neighbouring graphemes; empty below two of them. Letter case counts."""
-    g = graphemes(c)
-    pairs = F.transform(F.sequence(F.lit(0), F.size(g) - 2), lambda i: F.concat(F.get(g, i), F.get(g, i + 1)))
-    return F.when(F.size(g) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(pairs))
+
+    def pairs(g: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size(g) - 2), lambda i: F.concat(F.get(g, i), F.get(g, i + 1)))
+        return F.when(F.size(g) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(each))
+
+    return let(graphemes(c), pairs)

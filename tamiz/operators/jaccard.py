@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamiz.functions import measures as m
+from tamiz.sources.scratch import stash
 
 
 def search(tokens: DataFrame, query_tokens: list[str], k: int) -> DataFrame:
@@ -22,33 +23,67 @@ def recommend(tokens: DataFrame, row_idx: int, k: int) -> DataFrame:
     return search(tokens.where(F.col("row_idx") != row_idx), list(own["tokens"]), k)
 
 
+def keyed(tokens: DataFrame) -> DataFrame:
+    """(row_idx, tokens, h1, h2) of tokens(row_idx, tokens): sorted bags, with a key of 128 bits that equal ones share."""
+    rows = tokens.select("row_idx", F.array_sort("tokens").alias("tokens"))
+    return stash(rows.select("row_idx", "tokens", F.xxhash64("tokens").alias("h1"), F.xxhash64("tokens", F.lit(1)).alias("h2")), "bags")
+
+
+def membership(rows: DataFrame) -> DataFrame:
+    """(row_idx, bag) of keyed(): a bag is named after its first row."""
+    first = rows.groupBy("h1", "h2").agg(F.min("row_idx").alias("bag"))
+    return rows.select("row_idx", "h1", "h2").join(first, ["h1", "h2"]).select("row_idx", "bag")
+
+
 def bags(tokens: DataFrame) -> DataFrame:
     """(bag, tokens, n, first, rows): the different bags of tokens(row_idx, tokens), each with its first row and row count."""
-    sorted_ = tokens.select("row_idx", F.array_sort("tokens").alias("tokens"))
-    return sorted_.groupBy("tokens").agg(F.min("row_idx").alias("first"), F.count("*").alias("rows")).select(F.col("first").alias("bag"), "tokens", F.size("tokens").alias("n"), "first", "rows")
+    return _bags(keyed(tokens))
+
+
+def _bags(rows: DataFrame) -> DataFrame:
+    first = rows.groupBy("h1", "h2").agg(F.min("row_idx").alias("first"), F.count("*").alias("rows"))
+    own = rows.join(first.drop("h1", "h2"), F.col("row_idx") == F.col("first"))
+    return own.select(F.col("first").alias("bag"), "tokens", F.size("tokens").alias("n"), "first", "rows")
+
+
+def _frequent(each: DataFrame, most: int = 200_000) -> DataFrame:
+    """(t, df): the `most` tokens that most bags of each(bag, t) have, and how many. They come last in the order of tokens, all
+    others first: this decides how many candidates there are, not which pairs are found."""
+    return each.groupBy("t").agg(F.count("*").alias("df")).where("df > 2").orderBy(F.desc("df"), "t").limit(most)
 
 
 def bag_links(tokens: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, score) of the different bags, by first row, a < b, whose similarity is `threshold`, above 0, or more.
+    """(a, b, score) of the different bags, by first row, a < b, whose similarity is `threshold` or more.
 
-    Prefix filtering: two bags of this similarity share one of the rarest n - ceil(t * n) + 1 tokens of each, repeats
-    numbered; only these are join keys, and only pairs of lengths in proportion are scored. Equal bags are one bag.
+    Prefix filtering: in any one order of tokens, two bags of this similarity share one of the first n - ceil(t * n) + 1 of
+    each, repeats numbered; only these are join keys, the rarer tokens first. The places of a key in both bound what the bags
+    may share, and the pairs that this leaves are scored. Tokens are compared by hashes of 64 bits. A threshold of 0 or less,
+    which every pair meets, compares them all.
     """
-    if not 0 < threshold <= 1:
-        raise ValueError("threshold must be in (0, 1]")
-    own = bags(tokens)
-    # Repeats are told apart by a number, so that a bag is a set of (token, number).
-    counts = own.where("n > 0").select("bag", "n", F.explode("tokens").alias("t")).groupBy("bag", "n", "t").agg(F.count("*").cast("int").alias("tf"))
-    each = counts.select("bag", "n", "t", F.explode(F.sequence(F.lit(1), F.col("tf"))).alias("i"))
-    each = each.select("bag", "n", F.concat_ws("\x01", "t", F.col("i").cast("string")).alias("t"))
-    often = each.groupBy("t").agg(F.count("*").alias("df"))
-    ranked = each.join(often, "t").groupBy("bag", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts"))
-    ranked = ranked.withColumn("ts", F.transform("ts", lambda x: x["t"]))
-    keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
-    prefix = ranked.select("bag", "n", F.explode(F.slice("ts", 1, keep)).alias("t"))
-    a, b = (prefix.select("t", F.col("bag").alias(x), F.col("n").alias("n" + x)) for x in "ab")
-    pairs = a.join(b, "t").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)).select("a", "b").distinct()
-    sets = ranked.select("bag", "ts", "n")
+    return _links(keyed(tokens), threshold)
+
+
+def _links(rows: DataFrame, threshold: float) -> DataFrame:
+    if threshold > 1:
+        raise ValueError("threshold must be 1 at most")
+    own = _bags(rows)
+    # A bag's tokens stay in one task from here on: only this exchange moves them.
+    each = own.select("bag", "n", "tokens").repartition("bag").select("bag", "n", F.explode("tokens").alias("t"))
+    each = each.groupBy("bag", "n", "t").agg(F.count("*").cast("int").alias("tf")).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("tf"))))
+    each = each.select("bag", "n", "i", F.xxhash64("t", "i").alias("t"))
+    often = F.broadcast(_frequent(each))  # two numbers for each of `most` tokens
+    listed = each.join(often, "t", "left").groupBy("bag", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t"))).alias("ts"))
+    sets = stash(listed.select("bag", "n", F.transform("ts", lambda x: x["t"]).alias("ts")), "sets")
+    if threshold <= 0:
+        sets = sets.unionByName(own.where("n = 0").select("bag", "n", F.array().cast("array<bigint>").alias("ts")))
+        pairs = sets.select(F.col("bag").alias("a")).join(sets.select(F.col("bag").alias("b")), F.col("a") < F.col("b"))
+    else:
+        keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
+        prefix = sets.select("bag", "n", F.posexplode(F.slice("ts", F.lit(1), keep)).alias("p", "t"))
+        a, b = (prefix.select("t", F.col("bag").alias(x), F.col("n").alias("n" + x), F.col("p").alias("p" + x)) for x in "ab")
+        shared = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # at most, from this token on
+        enough = shared >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9
+        pairs = a.join(b, "t").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9) & enough).select("a", "b").distinct()
     both = pairs.join(sets.select(F.col("bag").alias("a"), F.col("ts").alias("ta"), F.col("n").alias("na")), "a")
     both = both.join(sets.select(F.col("bag").alias("b"), F.col("ts").alias("tb"), F.col("n").alias("nb")), "b")
     score = m.jaccard_ratio(F.size(F.array_intersect("ta", "tb")), F.col("na"), F.col("nb"))
@@ -60,18 +95,18 @@ def duplicates(tokens: DataFrame, threshold: float) -> DataFrame:
 
     The result has a row for each pair, copies too; duplicate_groups() has the same links without expanding copies.
     """
-    rows = tokens.select("row_idx", F.array_sort("tokens").alias("tokens"))
-    own = rows.join(bags(tokens).select("tokens", "bag"), "tokens").select("row_idx", "bag")
+    rows = keyed(tokens)
+    own = membership(rows)
     a, b = own.select(F.col("row_idx").alias("x"), F.col("bag").alias("a")), own.select(F.col("row_idx").alias("y"), F.col("bag").alias("b"))
     equal = a.join(b, F.col("a") == F.col("b")).where("x < y").select(F.col("x").alias("i"), F.col("y").alias("j"), F.lit(1.0).cast("float").alias("score"))
-    other = bag_links(tokens, threshold).join(a, "a").join(b, "b").select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "score")
+    other = _links(rows, threshold).join(a, "a").join(b, "b").select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "score")
     return equal.unionByName(other)
 
 
 def duplicate_groups(tokens: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Membership (row_idx, bag) and links (a, b, score) between different bags."""
-    rows = tokens.select("row_idx", F.array_sort("tokens").alias("tokens"))
-    return rows.join(bags(tokens).select("tokens", "bag"), "tokens").select("row_idx", "bag"), bag_links(tokens, threshold)
+    rows = keyed(tokens)
+    return membership(rows), _links(rows, threshold)
 
 
 def signatures(tokens: DataFrame, k: int = 128) -> DataFrame:
