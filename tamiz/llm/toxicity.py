@@ -15,7 +15,7 @@ its clauses' weights, in which the uses of an arc weight count by logarithm. Wor
 
 The lexicon has a small list, and what is learned from labelled texts: beginnings of words, and whole words of two and three
 letters, that so many toxic texts have that it can't be by chance, and that few other texts have, counted over all labelled
-documents; of toxic near copies, those that share one of eight MinHash values of word triples, the first counts. What stands
+documents; of toxic near copies, those that share one of 32 MinHash values of word triples, the first counts. What stands
 behind an intent in most of its places is learned as violence, else as an insult. Counts of toxic and other texts are joined
 before the driver sees any, and all that pass are kept. The arcs' weights are fitted on the driver on at most `sample`
 labelled documents, those of the smallest hashes.
@@ -244,7 +244,7 @@ def beginnings(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "stem string, n long, meant long").groupBy("stem").agg(F.sum("n").alias("n"), F.sum("meant").alias("meant"))
 
 
-def one_of_near_copies(rows: DataFrame, sketches: int = 8) -> DataFrame:
+def one_of_near_copies(rows: DataFrame, sketches: int = 32) -> DataFrame:
     """rows(text) without those with which an earlier one, by the hash of the text, shares a MinHash value."""
     odd = np.arange(1, 2 * sketches, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -280,15 +280,19 @@ def learn_stems(rows: DataFrame, support: int = 5, precise: float = 0.9) -> dict
     other = beginnings(rows.where("toxic = 0")).select("stem", F.col("n").alias("other"))
     good = other.join(maybe_broadcast(often, often.count(), 80), "stem", "right").where(F.col("n") >= precise * (F.col("n") + F.coalesce("other", F.lit(0))))
     counts = {r.stem: (r.n, r.meant) for r in good.select("stem", "n", "meant").collect()}  # the lexicon
-    # Of nested stems the longest that nearly as many texts have; then none that begins with another.
+    # Of nested stems the longest that nearly as many texts have; none that begins with another, or is a beginning of one.
+    next_ones: dict[str, list[str]] = {}
+    for s in sorted(counts):
+        next_ones.setdefault(s[:-1], []).append(s)
     kept: set[str] = set()
+    within: set[str] = set()
     for s in sorted(counts, key=lambda s: (len(s), s)):
-        if any(s[:k] in kept for k in range(1, len(s))):
+        if s in within or any(s[:k] in kept for k in range(1, len(s) + 1)):
             continue
-        while longer := [x for x in (s + c for c in sorted({y[len(s)] for y in counts if len(y) == len(s) + 1 and y.startswith(s)})) if counts[x][0] >= 0.9 * counts[s][0]]:
+        while longer := [x for x in next_ones.get(s, []) if counts[x][0] >= 0.9 * counts[s][0]]:
             s = longer[0]
         kept.add(s)
-    kept = {s for s in kept if not any(s[:k] in kept for k in range(1, len(s)))}
+        within |= {s[:k] for k in range(1, len(s) + 1)}
     return {s: VIOLENT if 2 * counts[s][1] > counts[s][0] else INSULT for s in sorted(kept)}
 
 
