@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from tamiz.functions import measures as m
 
 
+def distance(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """rows with distance: the differing bits of two columns of one kind, text or bytes, or arrays of 64-bit words; null where
+    their lengths differ."""
+    kinds = {dict(rows.dtypes)[c] for c in (a, b)}
+    if kinds <= {"string", "binary"}:
+        d = m.hamming_bits(F.col(a), F.col(b))
+    elif kinds == {"array<bigint>"}:
+        d = m.hamming_words(F.col(a), F.col(b))
+    else:
+        raise TypeError(f"no Hamming distance of {' and '.join(sorted(kinds))}")
+    return rows.withColumn("distance", d)
+
+
 def attribute_distance(rows: DataFrame, target: list[int], most: int) -> DataFrame:
     """Rows(attributes) within `most` differing bits of the target bitmap, with the distance; of other sizes, none."""
     d = m.hamming_words(F.col("attributes"), m.bitmap(target))

@@ -149,6 +149,13 @@ def test_bag_jaccard_against_counters(spark, pairs):
 SHOP = ["Tornillo Hexagonal", "Tuerca Hexagonal", "Arandela Plana", "Tornillo de Cabeza Plana", "Hexagonal Tornillo"]
 
 
+def test_hamming_of_any_kind(spark):
+    df = spark.createDataFrame([("ab", "ac", bytearray(b"ab"), [1, 2], [1, 3])], "a string, b string, c binary, x array<bigint>, y array<bigint>")
+    assert [hamming.distance(df, *p).first().distance for p in (("a", "b"), ("c", "b"), ("x", "y"))] == [1, 1, 1]
+    with pytest.raises(TypeError):
+        hamming.distance(df, "a", "x")
+
+
 def test_jaccard_catalogue(spark):
     t = names(spark, *SHOP).tokens
     got = [(r.row_idx, round(r.score, 4)) for r in jaccard.search(t, query_tokens("Hexagonal Tornillo"), 3).collect()]
