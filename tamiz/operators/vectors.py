@@ -29,8 +29,8 @@ def linear_search(rows: DataFrame, query: list[float], k: int, unit: bool) -> Da
     return scored.orderBy(F.desc("score"), F.desc("row_idx")).limit(k)
 
 
-def nearest(rows: DataFrame, query: list[float], k: int) -> DataFrame:
-    """rows(row_idx, vec, ...) of the k least squared distances, with d2 and score 1 - d2 / 2; ties in catalogue order."""
+def distances(rows: DataFrame, query: list[float]) -> DataFrame:
+    """rows(vec, ...) with d2, the squared distance from the query."""
     q = np.asarray(query, dtype=np.float64)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -38,8 +38,12 @@ def nearest(rows: DataFrame, query: list[float], k: int) -> DataFrame:
             v = np.stack(s.to_numpy()).astype(np.float64) if len(s) else np.zeros((0, len(q)))
             yield pd.Series(((v - q) ** 2).sum(axis=1))
 
-    d2 = F.pandas_udf(run, "double")
-    out = rows.withColumn("d2", d2("vec")).orderBy("d2", "row_idx").limit(k)
+    return rows.withColumn("d2", F.pandas_udf(run, "double")("vec"))
+
+
+def nearest(rows: DataFrame, query: list[float], k: int) -> DataFrame:
+    """rows(row_idx, vec, ...) of the k least squared distances, with d2 and score 1 - d2 / 2; ties in catalogue order."""
+    out = distances(rows, query).orderBy("d2", "row_idx").limit(k)
     return out.withColumn("score", m.euclid_score(F.col("d2")))
 
 

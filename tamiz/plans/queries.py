@@ -341,7 +341,8 @@ def batch_cosine(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH names AS (SELECT DISTINCT p_name AS name FROM part), {_vectors_sql('names')} SELECT p_partkey AS row_idx, CAST(len(vec) AS INTEGER) AS dim, round(sqrt(list_dot_product(CAST(vec AS DOUBLE[]), CAST(vec AS DOUBLE[]))), 4) AS norm, round(CAST(vec[1] AS DOUBLE), 3) AS head, round(CAST(vec[{kernels.DIM}] AS DOUBLE), 3) AS tail FROM part JOIN vecs ON p_name = name")
 def mock_embeddings(spark: SparkSession, d: str) -> DataFrame:
     at = lambda i: F.round(F.get("vec", F.lit(i)).cast("double"), 3)
-    return parts(spark, d).vectors.select("row_idx", F.size("vec").alias("dim"), F.round(m.l2_norm(F.col("vec")), 4).alias("norm"), at(0).alias("head"), at(kernels.DIM - 1).alias("tail"))
+    catalog = parts(spark, d)
+    return catalog.rows.join(catalog.vectors, "name").select("row_idx", F.size("vec").alias("dim"), F.round(m.l2_norm(F.col("vec")), 4).alias("norm"), at(0).alias("head"), at(kernels.DIM - 1).alias("tail"))
 
 
 HEARD, MISHEARD = "red pleit", "rad plxate"

@@ -128,10 +128,9 @@ def search(catalog: Catalog, query: str, algorithm: Algorithm | int, limit: int
             return spark.createDataFrame(hits, RESULT)
         rows = ph.near(codes, query, SOUND, encode).withColumn("score", m.phonetic_score(F.col("distance")))
         return _ranked(rows, F.col("distance"), F.col("row_idx"), limit=limit)
-    rows = catalog.vectors
-    if only:
-        rows = rows.join(_active(catalog.rows, True).select("row_idx"), "row_idx", "left_semi")
-    rows = vectors.nearest(rows.drop("name"), [float(x) for x in catalog.backend.vectors([query])[0]], limit)
+    far = vectors.distances(catalog.vectors, [float(x) for x in catalog.backend.vectors([query])[0]]).select("name", "d2")
+    rows = _active(catalog.rows, only).select("row_idx", "id", "name").join(far, "name").orderBy("d2", "row_idx").limit(limit)
+    rows = rows.withColumn("score", m.euclid_score(F.col("d2")))
     return _ranked(_named(catalog, rows), F.col("d2"), F.col("row_idx"), limit=limit)
 
 
@@ -148,8 +147,8 @@ def _met(asked: DataFrame, rows: DataFrame, items: str) -> DataFrame:
 
 
 def _nearest_batch(catalog: Catalog, asked: DataFrame, limit: int, block: int) -> DataFrame:
-    """(q_idx, row_idx, d2): the `limit` nearest vectors of each query. Queries go block by block over the vectors; of each
-    batch of vectors only `limit` for each query are passed on."""
+    """(q_idx, row_idx, d2): rows of the `limit` nearest names of each query, and those as near as the last. Queries go block by
+    block over the names' vectors; of each batch of vectors only these are passed on."""
     found = None
     for k in range(max(1, -(-asked.count() // block))):
         part = asked.orderBy("q_idx").offset(k * block).limit(block).collect()  # a block
@@ -157,15 +156,18 @@ def _nearest_batch(catalog: Catalog, asked: DataFrame, limit: int, block: int) -
 
         def run(batches: Iterator[pa.RecordBatch], ids=ids, v=v) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                index, rows = batch.column("row_idx").to_numpy(), np.stack(batch.column("vec").to_numpy(zero_copy_only=False)).astype(np.float64) if batch.num_rows else np.zeros((0, 1))
+                rows = np.stack(batch.column("vec").to_numpy(zero_copy_only=False)).astype(np.float64) if batch.num_rows else np.zeros((0, 1))
                 for q, x in zip(ids, v, strict=True):
                     d2 = ((rows - np.asarray(x, dtype=np.float64)) ** 2).sum(axis=1)
-                    first = np.lexsort((index, d2))[:limit]
-                    yield pa.record_batch([pa.array([q] * len(first), pa.int64()), pa.array(index[first]), pa.array(d2[first])], names=["q_idx", "row_idx", "d2"])
+                    last = np.partition(d2, limit - 1)[limit - 1] if len(d2) > limit else np.inf
+                    some = np.flatnonzero(d2 <= last)
+                    yield pa.record_batch([pa.array([q] * len(some), pa.int64()), batch.column("name").take(pa.array(some)), pa.array(d2[some])], names=["q_idx", "name", "d2"])
 
-        near = catalog.vectors.select("row_idx", "vec").mapInArrow(run, "q_idx long, row_idx long, d2 double")
+        near = catalog.vectors.select("name", "vec").mapInArrow(run, "q_idx long, name string, d2 double")
         found = near if found is None else found.unionByName(near)
-    return found
+    # Each name has a row at least: those of the `limit` nearest names are enough.
+    near = found.withColumn("r", F.rank().over(Window.partitionBy("q_idx").orderBy("d2"))).where(F.col("r") <= limit)
+    return near.join(catalog.rows.select("row_idx", "name"), "name").select("q_idx", "row_idx", "d2")
 
 
 def _sounds_batch(catalog: Catalog, asked: DataFrame) -> DataFrame:

@@ -51,8 +51,8 @@ class Catalog:
 
     @cached_property
     def vectors(self) -> DataFrame:
-        """(row_idx, id, name, vec): embeddings of the names."""
-        return self.rows.select("row_idx", "id", "name", self.backend.of(F.col("name")).alias("vec"))
+        """(name, vec): embeddings of the different names."""
+        return self.rows.select("name").distinct().withColumn("vec", self.backend.of(F.col("name")))
 
     @cached_property
     def spelt(self) -> DataFrame:
