@@ -54,9 +54,9 @@ def _active(rows: DataFrame, active_only: bool) -> DataFrame:
 
 
 def _named(catalog: Catalog, rows: DataFrame) -> DataFrame:
-    """rows, which are few, with the name of the first row of their id."""
-    ids = rows.select("id").distinct()
-    names = catalog.rows.join(ids, "id", "left_semi").groupBy("id").agg(F.min_by("name", "row_idx").alias("first_name"))
+    """rows, which a limit bounds, with the name of the first row of their id. They are made once, and go by the driver."""
+    rows = rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+    names = catalog.rows.join(F.broadcast(rows.select("id").distinct()), "id", "left_semi").groupBy("id").agg(F.min_by("name", "row_idx").alias("first_name"))
     return rows.drop("name").join(names, "id", "left").withColumn("name", F.coalesce("first_name", F.lit(""))).drop("first_name")
 
 
