@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from tamiz.functions.once import let
 
-__all__ = ["BROADCAST_BYTES", "arrow_rows", "components", "drop_rows", "first_by_hash", "fresh", "let", "maybe_broadcast", "remove", "scope", "shared_dir", "stash", "table", "text_key", "unstash"]
+__all__ = ["BROADCAST_BYTES", "arrow_rows", "components", "drop_rows", "first_by_hash", "fresh", "let", "maybe_broadcast", "no_shuffles_left", "remove", "scope", "shared_dir", "stash", "table", "text_key", "unstash"]
 
 #: Bytes up to which a side is broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 32_000_000
 #: Rows of a batch that goes to Python, at most, while a table is written.
 ARROW_ROWS = 1000
+#: Spark's setting by which a write's shuffle files go as soon as it ends; else they stay until the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,14 +52,29 @@ def arrow_rows(spark: SparkSession, most: int = ARROW_ROWS) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+@contextmanager
+def no_shuffles_left(spark: SparkSession) -> Iterator[None]:
+    """What is written within leaves no shuffle files: the table has all that they were for."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def stash(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: its lineage ends there, and a lost executor loses nothing.
+    """Writes a table to the shared folder and reads it again: its lineage and its shuffle files end there, and a lost executor
+    loses nothing.
 
     It is removed with the scope that it is written in; with the one around that, if there is one, if `outer`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with arrow_rows(spark):
+    with arrow_rows(spark), no_shuffles_left(spark):
         df.write.parquet(path)
     for paths in (_scopes[:-1] if outer else _scopes)[-1:]:
         paths.append(path)

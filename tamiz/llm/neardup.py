@@ -4,7 +4,10 @@ Shingles are hashed as for the fingerprints of operator 6. In any one order of a
 a shingle in common among the first n - ceil(s * n) + 1 of each (n shingles): these are the keys of the candidate join. The
 place of a key in both sets bounds what they can share. So does a sketch of BITS bits, one for each class of shingles, that
 tells whether the set has an odd number of them: two sets differ in as many shingles at least as their sketches do in bits.
-Pairs that these bounds leave are compared as whole sets. Shingles that are frequent in a sample of the documents come last
+Sets of more shingles than BITS fill such a sketch, so they have a second one, of as many bits as they have shingles or up to
+twice that; a pair is compared by the shorter of both, as the longer one's halves together are its sketch of half the bits.
+Pairs that these bounds leave, nearly all of a similarity of 0.74 or more, are compared as whole sets: their number, not that
+of the candidates, is what whole sets move for. Shingles that are frequent in a sample of the documents come last
 in the order, so that phrases which many documents have are seldom keys; the sample decides how many candidates there are,
 not which pairs are found.
 
@@ -25,11 +28,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.llm.common import components, first_by_hash, maybe_broadcast, scope, stash, text_key
+from tamiz.llm.common import components, first_by_hash, maybe_broadcast, no_shuffles_left, scope, stash, text_key
 from tamiz.llm.simhash import groups_of, majority, one_of_each, shingle_digests
 
 
-#: Bits of a sketch, in words of 64.
+#: Bits of every set's sketch, which is held in words of 64.
 BITS = 1024
 
 
@@ -42,9 +45,29 @@ def rows_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("th"), F.col("text").cast("string").alias("text"))
 
 
-def parity(s: np.ndarray) -> np.ndarray:
-    """The sketch of a set, as signed longs."""
-    return np.packbits((np.bincount(s & (BITS - 1), minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+def parity(s: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """The sketch of a set, as signed longs; bits is a power of two, 64 at least."""
+    return np.packbits((np.bincount(s & (bits - 1), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
+def wide_parity(s: np.ndarray) -> np.ndarray | None:
+    """The second sketch of a set of more shingles than BITS."""
+    return parity(s, 1 << (len(s) - 1).bit_length()) if len(s) > BITS else None
+
+
+def wide_differ(x: Column, y: Column) -> Column:
+    """Bits in which second sketches differ, the longer one folded once where it has twice the words of the other; 0 where they
+    can't be compared so."""
+
+    def halved(c: Column) -> Column:
+        half = F.floor(F.size(c) / 2).cast("int")
+        return F.zip_with(F.slice(c, F.lit(1), half), F.slice(c, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+    def bits(p: Column, q: Column) -> Column:
+        return F.aggregate(F.zip_with(p, q, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda total, n: total + n)
+
+    n, m = F.size(x), F.size(y)
+    return F.when(n == m, bits(x, y)).when(n == 2 * m, bits(halved(x), y)).when(m == 2 * n, bits(x, halved(y))).otherwise(F.lit(0))
 
 
 def slices(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
@@ -78,13 +101,14 @@ def frequent(docs: DataFrame, words: int, sample: int = 20_000, most: int = 200_
     """Shingles of three or more of the sampled texts, in order, and their counts there."""
     some = with_sets(first_by_hash(rows_of(docs).dropDuplicates(["th"]), F.xxhash64("th"), sample), words)
     counts = some.select(F.explode("tokens").alias("k")).groupBy("k").agg(F.count("*").alias("n")).where("n > 2")
-    got = counts.orderBy(F.col("n").desc(), "k").limit(most).toPandas().sort_values("k")
+    with no_shuffles_left(docs.sparkSession):
+        got = counts.orderBy(F.col("n").desc(), "k").limit(most).toPandas().sort_values("k")
     return got["k"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
 
 
 def with_keys(docs: DataFrame, words: int, share: tuple[int, int], heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, th, fp, sh, n, keys, bits): the fingerprint by operator 6, the set's name and size, the shingles that it is a
-    candidate by, and its sketch. Texts go through once for all."""
+    """(doc_id, th, fp, sh, n, keys, bits, wide): the fingerprint by operator 6, the set's name and size, the shingles that it is
+    a candidate by, and its sketches. Texts go through once for all."""
     known, counts = heavy
     over, under = share
 
@@ -105,35 +129,41 @@ def with_keys(docs: DataFrame, words: int, share: tuple[int, int], heavy: tuple[
                 sets = [shingle_set(t.as_py(), words) for t in texts]
                 names = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
                 sizes = pa.array([len(s) for s in sets], pa.int64())
-                lists = [pa.array(x, pa.list_(pa.int64())) for x in ([first(s) for s in sets], [parity(s) for s in sets])]
-                yield pa.record_batch([ids, keys, pa.array(prints), pa.array(names), sizes, *lists], names=["doc_id", "th", "fp", "sh", "n", "keys", "bits"])
+                lists = [pa.array(x, pa.list_(pa.int64())) for x in ([first(s) for s in sets], [parity(s) for s in sets], [wide_parity(s) for s in sets])]
+                yield pa.record_batch([ids, keys, pa.array(prints), pa.array(names), sizes, *lists], names=["doc_id", "th", "fp", "sh", "n", "keys", "bits", "wide"])
 
-    return rows_of(docs).mapInArrow(run, "doc_id long, th long, fp long, sh long, n long, keys array<long>, bits array<long>")
+    return rows_of(docs).mapInArrow(run, "doc_id long, th long, fp long, sh long, n long, keys array<long>, bits array<long>, wide array<long>")
 
 
 def near_links(docs: DataFrame, prints: DataFrame, words: int, share: tuple[int, int], bucket: int = 32, rounds: int = 2) -> DataFrame:
-    """(a, b): names of sets of prints(doc_id, th, sh, n, keys, bits) that join exactly those that are linked at `share`."""
+    """(a, b): names of sets of prints(doc_id, th, sh, n, keys, bits, wide) that join exactly those that are linked at `share`."""
     over, under = share
     keys = prints.select("sh", "n", F.posexplode("keys").alias("pos", "k"))
     # Most keys are of one set alone: they go before any row moves.
     shared = keys.groupBy("k").agg(F.min("sh").alias("low"), F.max("sh").alias("high")).where("low <> high").select("k")
     shared = stash(shared, "shared")
-    keys = keys.join(maybe_broadcast(shared, shared.count(), 16), "k").distinct()
+    # If that takes a shuffle, it is of all keys: what is left is written before it is counted, so that it is one.
+    keys = stash(keys.join(maybe_broadcast(shared, shared.count(), 16), "k"), "kept").distinct()
     keys = stash(keys.join(keys.groupBy("k").agg(F.count("*").alias("m")), "k"), "keys")
     names = stash(keys.select("sh").distinct(), "names")
     words64 = [f"b{i}" for i in range(BITS // 64)]
     own = prints.join(maybe_broadcast(names, names.count(), 16), "sh", "left_semi").select("sh", *[F.get("bits", F.lit(i)).alias(b) for i, b in enumerate(words64)])
     sketches = stash(own.groupBy("sh").agg(*[F.min(b).alias(b) for b in words64]), "sketches")  # the same for copies
     held = maybe_broadcast(sketches, sketches.count(), 24 + BITS // 8)
+    wide = prints.where("wide is not null").join(maybe_broadcast(names, names.count(), 16), "sh", "left_semi")
+    wide = stash(wide.select("sh", "wide").dropDuplicates(["sh"]), "wide")
 
     def sketched(rows: DataFrame, name: str) -> DataFrame:
         """rows with the sketches of the sets that column `name` names."""
         return rows.join(held.select(F.col("sh").alias(name), *[F.col(b).alias(f"{name}_{b}") for b in words64]), name)
 
+    def allowed(differ: Column, n: Column) -> Column:
+        """Whether sets of so many shingles together may differ in so many."""
+        return (over + under) * differ <= (under - over) * n
+
     def near(n: Column) -> Column:
         """Whether sketches of a and b allow that so many shingles of both together make similar enough sets."""
-        differ = sum((F.bit_count(F.col(f"a_{b}").bitwiseXOR(F.col(f"b_{b}"))) for b in words64), F.lit(0))
-        return (over + under) * differ <= (under - over) * n
+        return allowed(sum((F.bit_count(F.col(f"a_{b}").bitwiseXOR(F.col(f"b_{b}"))) for b in words64), F.lit(0)), n)
 
     def may(n: Column, pos: Column, n2: Column, pos2: Column) -> Column:
         """Whether sets whose first common shingle has these places can be similar enough."""
@@ -152,7 +182,10 @@ def near_links(docs: DataFrame, prints: DataFrame, words: int, share: tuple[int,
 
     def alike(pairs: DataFrame) -> DataFrame:
         """The pairs whose sets are similar enough."""
-        pairs = stash(sketched(sketched(stash(pairs, "met"), "a"), "b").where(near(F.col("n"))).select("a", "b"), "pairs")
+        pairs = stash(sketched(sketched(stash(pairs, "met"), "a"), "b").where(near(F.col("n"))).select("a", "b", "n"), "close")
+        x, y = (wide.select(F.col("sh").alias(s), F.col("wide").alias(w)) for s, w in (("a", "x"), ("b", "y")))
+        both = pairs.join(x, "a", "left").join(y, "b", "left")
+        pairs = stash(both.where(F.col("x").isNull() | F.col("y").isNull() | allowed(wide_differ(F.col("x"), F.col("y")), F.col("n"))).select("a", "b"), "pairs")
         names = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
         at = prints.join(names, prints["sh"] == names["s"]).groupBy("sh").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("w"))
         at = stash(at.select(F.col("w.doc_id").alias("w_id"), F.col("w.th").alias("w_th")), "heads")
