@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamiz.functions import measures as m
-from tamiz.sources.scratch import stash
+from tamiz.sources.scratch import stash, writing
 
 
 def search(tokens: DataFrame, query_tokens: list[str], k: int) -> DataFrame:
@@ -46,10 +51,83 @@ def _bags(rows: DataFrame) -> DataFrame:
     return own.select(F.col("first").alias("bag"), "tokens", F.size("tokens").alias("n"), "first", "rows")
 
 
-def _frequent(each: DataFrame, most: int = 200_000) -> DataFrame:
-    """(t, df): the `most` tokens that most bags of each(bag, t) have, and how many. They come last in the order of tokens, all
-    others first: this decides how many candidates there are, not which pairs are found."""
-    return each.groupBy("t").agg(F.count("*").alias("df")).where("df > 2").orderBy(F.desc("df"), "t").limit(most)
+def _numbered(h: np.ndarray) -> np.ndarray:
+    """A bag's tokens as a set, in order: each is hashed with its number among equal ones. h: hashes of tokens, in order."""
+    at = np.arange(len(h))
+    i = at - np.maximum.accumulate(np.where(np.r_[True, h[1:] != h[:-1]][: len(h)], at, 0))
+    x = h.view(np.uint64) + i.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.sort((x ^ (x >> np.uint64(31))).view(np.int64))
+
+
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """A bit for each class of a set's hashes, set if it has an odd number of them: as many as the set has, or up to twice that."""
+    bits = max(64, 1 << (max(len(s), 1) - 1).bit_length())
+    return np.packbits((np.bincount(s & (bits - 1), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [_numbered(np.asarray(x.values.to_numpy(zero_copy_only=False), dtype=np.int64)) for x in batch.column("h")]
+
+
+def _sets(own: DataFrame) -> DataFrame:
+    """(bag, n, ts) of own(bag, n, h)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column("bag"), batch.column("n"), pa.array(_arrays(batch), pa.list_(pa.int64()))], names=["bag", "n", "ts"])
+
+    return own.mapInArrow(run, f"bag {own.schema['bag'].dataType.simpleString()}, n int, ts array<bigint>")
+
+
+def _frequent(own: DataFrame, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """The `most` tokens that most bags of own(bag, n, h) have, in order, and how many. They come last in the order of tokens,
+    all others first: this decides how many candidates there are, not which pairs are found."""
+    counts = _sets(own).select(F.explode("ts").alias("t")).groupBy("t").agg(F.count("*").alias("df")).where("df > 2")
+    with writing(own.sparkSession):
+        got = counts.orderBy(F.desc("df"), "t").limit(most).toPandas().sort_values("t")  # two numbers for each
+    return got["t"].to_numpy(np.int64), got["df"].to_numpy(np.int64)
+
+
+def _marked(own: DataFrame, threshold: float) -> DataFrame:
+    """(bag, n, keys, sketch) of own(bag, n, h): keys are the first tokens, by which a bag is a candidate."""
+    known, counts = _frequent(own)
+
+    def first(s: np.ndarray) -> np.ndarray:
+        df = np.zeros(len(s), dtype=np.int64)
+        if len(known) and len(s):
+            at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+            df = np.where(known[at] == s, counts[at], 0)
+        return s[np.lexsort((s, df))][: len(s) - math.ceil(len(s) * threshold - 1e-9) + 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = _arrays(batch)
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in ([first(s) for s in sets], [_sketch(s) for s in sets])]
+            yield pa.record_batch([batch.column("bag"), batch.column("n"), *lists], names=["bag", "n", "keys", "sketch"])
+
+    return own.mapInArrow(run, f"bag {own.schema['bag'].dataType.simpleString()}, n int, keys array<bigint>, sketch array<bigint>")
+
+
+def _differ(x: Column, y: Column) -> Column:
+    """Bits in which sketches differ, the longer one folded once where it has twice the words of the other; 0 where they can't
+    be compared so."""
+
+    def halved(c: Column) -> Column:
+        half = F.floor(F.size(c) / 2).cast("int")
+        return F.zip_with(F.slice(c, F.lit(1), half), F.slice(c, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+    def bits(p: Column, q: Column) -> Column:
+        return F.aggregate(F.zip_with(p, q, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda total, n: total + n)
+
+    n, m = F.size(x), F.size(y)
+    return F.when(n == m, bits(x, y)).when(n == 2 * m, bits(halved(x), y)).when(m == 2 * n, bits(x, halved(y))).otherwise(F.lit(0))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A table of row numbers, broadcast if it has 32 MB at most."""
+    return F.broadcast(df) if df.count() * 32 <= 32_000_000 else df
 
 
 def bag_links(tokens: DataFrame, threshold: float) -> DataFrame:
@@ -57,8 +135,9 @@ def bag_links(tokens: DataFrame, threshold: float) -> DataFrame:
 
     Prefix filtering: in any one order of tokens, two bags of this similarity share one of the first n - ceil(t * n) + 1 of
     each, repeats numbered; only these are join keys, the rarer tokens first. The places of a key in both bound what the bags
-    may share, and the pairs that this leaves are scored. Tokens are compared by hashes of 64 bits. A threshold of 0 or less,
-    which every pair meets, compares them all.
+    may share, and so do sketches of a bit for each token or two: bags differ in as many tokens at least as their sketches do
+    in bits. The whole bags move for the pairs that this leaves alone, and these are scored. Tokens are compared by hashes of
+    64 bits. A threshold of 0 or less, which every pair meets, compares them all.
     """
     return _links(keyed(tokens), threshold)
 
@@ -66,24 +145,24 @@ def bag_links(tokens: DataFrame, threshold: float) -> DataFrame:
 def _links(rows: DataFrame, threshold: float) -> DataFrame:
     if threshold > 1:
         raise ValueError("threshold must be 1 at most")
-    own = _bags(rows)
-    # A bag's tokens stay in one task from here on: only this exchange moves them.
-    each = own.select("bag", "n", "tokens").repartition("bag").select("bag", "n", F.explode("tokens").alias("t"))
-    each = each.groupBy("bag", "n", "t").agg(F.count("*").cast("int").alias("tf")).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("tf"))))
-    each = each.select("bag", "n", "i", F.xxhash64("t", "i").alias("t"))
-    often = F.broadcast(_frequent(each))  # two numbers for each of `most` tokens
-    listed = each.join(often, "t", "left").groupBy("bag", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t"))).alias("ts"))
-    sets = stash(listed.select("bag", "n", F.transform("ts", lambda x: x["t"]).alias("ts")), "sets")
+    first = stash(rows.groupBy("h1", "h2").agg(F.min("row_idx").alias("bag")).select("bag"), "first")
+    own = rows.join(_small(first), F.col("row_idx") == F.col("bag")).select("bag", F.size("tokens").alias("n"), F.array_sort(F.transform("tokens", lambda t: F.xxhash64(t))).alias("h"))
     if threshold <= 0:
-        sets = sets.unionByName(own.where("n = 0").select("bag", "n", F.array().cast("array<bigint>").alias("ts")))
+        sets = stash(_sets(own), "sets")
         pairs = sets.select(F.col("bag").alias("a")).join(sets.select(F.col("bag").alias("b")), F.col("a") < F.col("b"))
     else:
-        keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
-        prefix = sets.select("bag", "n", F.posexplode(F.slice("ts", F.lit(1), keep)).alias("p", "t"))
+        marks = stash(_marked(own, threshold), "marks")
+        prefix = marks.select("bag", "n", F.posexplode("keys").alias("p", "t"))
         a, b = (prefix.select("t", F.col("bag").alias(x), F.col("n").alias("n" + x), F.col("p").alias("p" + x)) for x in "ab")
         shared = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # at most, from this token on
         enough = shared >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9
-        pairs = a.join(b, "t").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9) & enough).select("a", "b").distinct()
+        met = a.join(b, "t").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9) & enough)
+        met = stash(met.select("a", "b").distinct(), "met")
+        x, y = (marks.select(F.col("bag").alias(s), F.col("n").alias("n" + s), F.col("sketch").alias("s" + s)) for s in "ab")
+        near = _differ(F.col("sa"), F.col("sb")) <= (F.col("na") + F.col("nb")) * ((1 - threshold) / (1 + threshold)) + 1e-9
+        pairs = stash(met.join(x, "a").join(y, "b").where(near).select("a", "b"), "pairs")
+        heads = stash(pairs.select(F.col("a").alias("bag")).unionByName(pairs.select(F.col("b").alias("bag"))).distinct(), "heads")
+        sets = stash(_sets(own.join(_small(heads), "bag", "left_semi")), "sets")
     both = pairs.join(sets.select(F.col("bag").alias("a"), F.col("ts").alias("ta"), F.col("n").alias("na")), "a")
     both = both.join(sets.select(F.col("bag").alias("b"), F.col("ts").alias("tb"), F.col("n").alias("nb")), "b")
     score = m.jaccard_ratio(F.size(F.array_intersect("ta", "tb")), F.col("na"), F.col("nb"))

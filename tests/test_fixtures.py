@@ -183,6 +183,47 @@ def test_duplicates_against_all_pairs(spark):
         assert {(r.i, r.j) for r in jaccard.duplicates(df, t).collect()} == want
 
 
+def test_long_bags_move_whole_only_where_they_may_be_duplicates(spark, monkeypatch):
+    import random
+
+    rnd, rows, seen, real = random.Random(4), [], [], jaccard.stash
+    for n in (60, 250, 500, 520, 1000):  # on both sides of a power of two
+        base = [str(rnd.randint(0, 3 * n)) for _ in range(n)]
+        for part in (0, 0.05, 0.1, 0.11, 0.12, 0.2, 0.25):
+            rows.append((len(rows), [str(rnd.randint(0, 3 * n)) if rnd.random() < part else t for t in base] + base[: rnd.randint(0, n // 20)]))
+
+    def noted(df, name):
+        out = real(df, name)
+        seen.extend((r.a, r.b) for r in (out.collect() if name == "pairs" else []))
+        return out
+
+    def ratio(i, j):
+        inter = sum((Counter(rows[i][1]) & Counter(rows[j][1])).values())
+        return inter / (len(rows[i][1]) + len(rows[j][1]) - inter)
+
+    monkeypatch.setattr(jaccard, "stash", noted)
+    got = {(r.i, r.j): r.score for r in jaccard.duplicates(spark.createDataFrame(rows, "row_idx long, tokens array<string>"), 0.8).collect()}
+    want = {(i, j): ratio(i, j) for j in range(len(rows)) for i in range(j) if ratio(i, j) >= 0.8 - 1e-9}
+    assert got == pytest.approx(want, abs=1e-6) and 10 < len(want)
+    assert seen and all(ratio(i, j) > 0.65 for i, j in seen)
+
+
+def test_a_kept_table_leaves_no_shuffle_files(spark):
+    import time
+
+    from tamiz.sources.scratch import stash
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {n for n in disk.getAllFiles().mkString("\n").split("\n") if "shuffle" in n}
+    before = files()
+    out = stash(spark.range(100_000).repartition(7, "id"), "kept")
+    for _ in range(50):  # they are removed in the background
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and out.count() == 100_000
+
+
 def test_minhash_error(spark):
     a, b = [str(i) for i in range(200)], [str(i) for i in range(100, 300)]
     s = m.minhash(F.array(*lit(*a)), 256), m.minhash(F.array(*lit(*b)), 256)
