@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -130,6 +130,20 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() * 32 <= 32_000_000 else df
 
 
+def _compared(pairs: DataFrame, values: DataFrame, name: str, then: Callable[[DataFrame], DataFrame], most: int = 32_000_000) -> DataFrame:
+    """then(a, b, na, va, nb, vb) of pairs(a, b), with values(bag, n, v) of both, written. Values move once for a part of the
+    bags, never once for a pair: a part is what is broadcast at a time, of `most` bytes or so."""
+    size = values.agg(F.sum(F.size("v") * F.lit(8).cast("long") + 48)).first()[0] or 0
+    parts, out = max(1, math.ceil(size / most)), None
+    of = lambda c, k: F.pmod(F.xxhash64(c), F.lit(parts)) == k
+    y = values.select(F.col("bag").alias("b"), F.col("n").alias("nb"), F.col("v").alias("vb"))
+    for k in range(parts):
+        x = values.where(of("bag", k)).select(F.col("bag").alias("a"), F.col("n").alias("na"), F.col("v").alias("va"))
+        got = stash(then(pairs.where(of("a", k)).join(y, "b").join(F.broadcast(x), "a")), name)
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 def bag_links(tokens: DataFrame, threshold: float) -> DataFrame:
     """(a, b, score) of the different bags, by first row, a < b, whose similarity is `threshold` or more.
 
@@ -158,15 +172,13 @@ def _links(rows: DataFrame, threshold: float) -> DataFrame:
         enough = shared >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9
         met = a.join(b, "t").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9) & enough)
         met = stash(met.select("a", "b").distinct(), "met")
-        x, y = (marks.select(F.col("bag").alias(s), F.col("n").alias("n" + s), F.col("sketch").alias("s" + s)) for s in "ab")
-        near = _differ(F.col("sa"), F.col("sb")) <= (F.col("na") + F.col("nb")) * ((1 - threshold) / (1 + threshold)) + 1e-9
-        pairs = stash(met.join(x, "a").join(y, "b").where(near).select("a", "b"), "pairs")
+        near = _differ(F.col("va"), F.col("vb")) <= (F.col("na") + F.col("nb")) * ((1 - threshold) / (1 + threshold)) + 1e-9
+        pairs = _compared(met, marks.select("bag", "n", F.col("sketch").alias("v")), "pairs", lambda both: both.where(near).select("a", "b"))
         heads = stash(pairs.select(F.col("a").alias("bag")).unionByName(pairs.select(F.col("b").alias("bag"))).distinct(), "heads")
         sets = stash(_sets(own.join(_small(heads), "bag", "left_semi")), "sets")
-    both = pairs.join(sets.select(F.col("bag").alias("a"), F.col("ts").alias("ta"), F.col("n").alias("na")), "a")
-    both = both.join(sets.select(F.col("bag").alias("b"), F.col("ts").alias("tb"), F.col("n").alias("nb")), "b")
-    score = m.jaccard_ratio(F.size(F.array_intersect("ta", "tb")), F.col("na"), F.col("nb"))
-    return both.select("a", "b", score.alias("score")).where(F.col("score") >= F.lit(threshold).cast("float"))
+    score = m.jaccard_ratio(F.size(F.array_intersect("va", "vb")), F.col("na"), F.col("nb")).alias("score")
+    passed = lambda both: both.select("a", "b", score).where(F.col("score") >= F.lit(threshold).cast("float"))
+    return _compared(pairs, sets.select("bag", "n", F.col("ts").alias("v")), "scored", passed)
 
 
 def duplicates(tokens: DataFrame, threshold: float) -> DataFrame:

@@ -202,6 +202,7 @@ def test_long_bags_move_whole_only_where_they_may_be_duplicates(spark, monkeypat
         return inter / (len(rows[i][1]) + len(rows[j][1]) - inter)
 
     monkeypatch.setattr(jaccard, "stash", noted)
+    monkeypatch.setattr(jaccard._compared, "__defaults__", (60_000,))  # in several parts
     got = {(r.i, r.j): r.score for r in jaccard.duplicates(spark.createDataFrame(rows, "row_idx long, tokens array<string>"), 0.8).collect()}
     want = {(i, j): ratio(i, j) for j in range(len(rows)) for i in range(j) if ratio(i, j) >= 0.8 - 1e-9}
     assert got == pytest.approx(want, abs=1e-6) and 10 < len(want)
